@@ -67,7 +67,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGITS_SQL = """(select vec_id as id, cast(b as bigint) as branch, cast(label as bigint) as label,
-       list_transform(embedding[b*10+1 : b*10+10], v -> cast(v as double) * 20.0) as logits
+       list_transform(embedding[b*10+1 : b*10+10], lambda v: cast(v as double) * 20.0) as logits
   from embeddings, range(0, 3) t(b))"""
 
 
