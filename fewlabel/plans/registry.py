@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Import for side effects (registration).
-    from fewlabel.plans import q_prepare, q_ssl  # noqa: F401
+    from fewlabel.plans import q_metrics, q_prepare, q_ssl  # noqa: F401
