@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Import for side effects (registration).
-    from fewlabel.plans import q_augment, q_features, q_io, q_metrics, q_prepare, q_sampling, q_ssl  # noqa: F401
+    from fewlabel.plans import q_augment, q_features, q_io, q_metrics, q_models, q_prepare, q_sampling, q_ssl  # noqa: F401
