@@ -42,9 +42,9 @@ def _ranked_words_sql(where: str, n: int, seed: str) -> str:
 
 def thesaurus_long(spark: SparkSession, sf: str) -> DataFrame:
     rw = _ranked_words(table(spark, sf, "documents"), THES_N, "syn")
-    n = rw.count()
-    a = rw.select("word", "r", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("d"))
-    a = a.withColumn("key", (F.col("r") + F.col("d")) % F.lit(n))
+    rw = rw.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))   # over <= THES_N rows
+    a = rw.select("word", "r", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("d"))
+    a = a.withColumn("key", (F.col("r") + F.col("d")) % F.col("n"))
     b = rw.select(F.col("word").alias("candidate"), F.col("r").alias("key"))
     return a.join(b, "key").select("word", "candidate", (F.lit(4) - F.col("d")).cast("bigint").alias("score"))
 
@@ -63,19 +63,21 @@ thes as (select word, list(candidate order by score desc, candidate) as cands fr
 def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """``(forward, backward)`` with columns ``(model, src, tgt, p)``."""
     docs = table(spark, sf, "documents")
-    en = _ranked_words(docs.where("lang = 'en'"), LEX_N, "en")
+    en0 = _ranked_words(docs.where("lang = 'en'"), LEX_N, "en").withColumn("tag", F.lit("en"))
     fw, bw = None, None
     for model, lang in PIVOTS.items():
-        pv = _ranked_words(docs.where(F.col("lang") == lang), LEX_N, lang)
-        n_en, n_pv = en.count(), pv.count()
-        n = min(n_en, n_pv)
+        pv0 = _ranked_words(docs.where(F.col("lang") == lang), LEX_N, lang).withColumn("tag", F.lit("pv"))
+        # m = size of the shorter list; windows over <= 2 * LEX_N rows
+        u = en0.unionByName(pv0).withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("tag")))
+        u = u.withColumn("m", F.min("cnt").over(Window.partitionBy())).where(F.col("r") < F.col("m"))
+        en, pv = u.where("tag = 'en'"), u.where("tag = 'pv'")
         d = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(p).alias("p")) for i, p in enumerate(LEX_P)]))
-        e = en.where(F.col("r") < n).select("word", "r", d.alias("x")).select("word", "r", "x.d", "x.p")
-        f = e.withColumn("key", (F.col("r") + F.col("d")) % F.lit(n)).join(
+        e = en.select("word", "r", "m", d.alias("x")).select("word", "r", "m", "x.d", "x.p")
+        f = e.withColumn("key", (F.col("r") + F.col("d")) % F.col("m")).join(
             pv.select(F.col("word").alias("tgt"), F.col("r").alias("key")), "key").select(
             F.lit(model).alias("model"), F.col("word").alias("src"), "tgt", "p")
-        q = pv.where(F.col("r") < n).select("word", "r", d.alias("x")).select("word", "r", "x.d", "x.p")
-        b = q.withColumn("key", (F.col("r") - F.col("d") + F.lit(n)) % F.lit(n)).join(
+        q = pv.select("word", "r", "m", d.alias("x")).select("word", "r", "m", "x.d", "x.p")
+        b = q.withColumn("key", (F.col("r") - F.col("d") + F.col("m")) % F.col("m")).join(
             en.select(F.col("word").alias("tgt"), F.col("r").alias("key")), "key").select(
             F.lit(model).alias("model"), F.col("word").alias("src"), "tgt", "p")
         fw = f if fw is None else fw.unionByName(f)

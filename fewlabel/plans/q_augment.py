@@ -32,9 +32,11 @@ CORE = "'^[^A-Za-z0-9]*(.*?)[^A-Za-z0-9]*$'"
 def substitution_sql(spec, lookup_ctes: str, lookup_join: str, cands_expr: str, default_aug_p: float,
                      choice: str) -> str:
     """DuckDB version of the substitution rule (see augment.substitute)."""
-    key = "md5(concat_ws(':', '42', id, n, params, pos))"
-    ch = "md5(concat_ws(':', '42', id, n, params, pos, 'c'))"
-    pick = "lc[1]" if choice == "best" else f"lc[(('0x' || substr({ch}, 1, 8))::bigint % len(lc)) + 1]"
+    key = ("xor(('0x' || substr(md5(concat_ws(':', '42', id, pos)), 1, 15))::bigint, "
+           "('0x' || substr(md5(concat_ws(':', '42', n, params)), 1, 15))::bigint)")
+    ch = ("xor(('0x' || substr(md5(concat_ws(':', '42', id, pos, 'c')), 1, 8))::bigint, "
+          "('0x' || substr(md5(concat_ws(':', '42', n, params, 'c')), 1, 8))::bigint)")
+    pick = "lc[1]" if choice == "best" else f"lc[({ch} % len(lc)) + 1]"
     return f"""with ex as {EX_SQL}, {lookup_ctes},
 t as (select id, case when annotation = 'UNL' then 'unlabelled' else 'labelled' end as side,
              string_split(sentence, ' ') as toks from ex),

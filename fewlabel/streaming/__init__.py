@@ -1 +1,6 @@
-"""streaming."""
+"""Structured Streaming: nothing to build.
+
+The reference has no stream source, event-time window, watermark or state; its
+only live data are metrics pushed to a tracking server, which here is a table
+(``operators.metrics.epoch_metrics`` aggregates it in batch).
+"""
