@@ -17,7 +17,7 @@ from fewlabel.operators.features import tokenize
 
 
 def train_word_vectors(docs: DataFrame, text_col: str = "text", vector_size: int = 32, min_count: int = 5,
-                       window: int = 5, max_iter: int = 1, num_partitions: int = 4, seed: int = 42,
+                       window: int = 5, max_iter: int = 1, num_partitions: int = 8, seed: int = 42,
                        max_vocab: int = 30000) -> DataFrame:
     """``(word, vector array<float>)`` for the ``max_vocab`` most frequent words
     that Word2Vec kept."""

@@ -26,7 +26,7 @@ def _c(x) -> Column:
 
 def tokenize(text, pattern: str = WORD_PATTERN) -> Column:
     """Lower-case, split on ``pattern``, drop empty tokens (whole text)."""
-    return F.filter(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), pattern), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), pattern), "")
 
 
 def vocabulary(df: DataFrame, text_cols, pattern: str = WORD_PATTERN,

@@ -84,12 +84,7 @@ q as (select *, coalesce(sum(p) over (partition by word order by rank
                           rows between unbounded preceding and 1 preceding), 0) as before from p where rank <= 5)
 select word, candidate, rank, round(p, 6) as p from q where before < 0.9""")
 def q_candidate_topk(spark, sf):
-    t = table(spark, sf, "documents").select(F.col("text"))
-    from fewlabel.operators.features import tokenize
-    tk = t.select(tokenize("text").alias("t")).where(F.size("t") >= 2)
-    bg = tk.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(
-        F.element_at("t", i).alias("word"), F.element_at("t", i + 1).alias("candidate")))).alias("g"))
-    bc = bg.select("g.*").groupBy("word", "candidate").agg(F.count(F.lit(1)).alias("score"))
+    bc = C.bigram_counts(table(spark, sf, "documents"))
     out = C.candidate_topk(bc, ["word"], 5, temperature=0.7, top_p=0.9)
     return out.select("word", "candidate", "rank", F.round("p", 6).alias("p"))
 
