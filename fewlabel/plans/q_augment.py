@@ -34,7 +34,7 @@ def substitution_sql(spec, lookup_ctes: str, lookup_join: str, cands_expr: str,
     """DuckDB version of the substitution rule (see augment.substitute)."""
     key = ("xor(('0x' || substr(md5(concat_ws(':', '42', id, pos)), 1, 15))::bigint, "
            "('0x' || substr(md5(concat_ws(':', '42', n, params)), 1, 15))::bigint)")
-    ch = ("xor(('0x' || substr(md5(concat_ws(':', '42', id, pos, 'c')), 1, 8))::bigint, "
+    ch = ("xor(('0x' || substr(md5(concat_ws(':', '42', id, pos)), 16, 8))::bigint, "
           "('0x' || substr(md5(concat_ws(':', '42', n, params, 'c')), 1, 8))::bigint)")
     pick = "lc[1]" if choice == "best" else f"lc[({ch} % len(lc)) + 1]"
     return f"""with ex as {EX_SQL}, {lookup_ctes},
