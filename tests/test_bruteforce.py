@@ -109,3 +109,18 @@ def test_next_sentence_matches_brute_force(spark):
             gen.append(cur)
         want = src[r.id] + (" " + " ".join(gen) if gen else "")
         assert r.sentence == want, (r.id, r.n)
+
+
+def test_augment_sometimes_keeps_rows_and_untouched_texts(spark):
+    import __spark_entry__ as E
+    out = E.queries()["augment_sometimes"](spark, SF_SMALL).toPandas()
+    src = dict(examples(spark, SF_SMALL).select("id", "sentence").toPandas().itertuples(index=False))
+    assert len(out) == 2 * len(src)
+    assert set(zip(out["id"], out["n"])) == {(i, n) for i in src for n in (0, 1)}
+    untouched = out[out["applied"] == ""]
+    assert len(untouched) > 0
+    assert all(r.sentence == src[r.id] for r in untouched.itertuples(index=False))
+    # each step is chosen for roughly p = 0.3 of the rows
+    for step in ("SynonymAug", "ContextualWordEmbsForSentenceAug", "AbstSummAug"):
+        share = out["applied"].str.contains(step).mean()
+        assert 0.15 < share < 0.45, (step, share)
