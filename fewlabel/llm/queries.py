@@ -6,7 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fewlabel.llm import decontaminate as dc
+from fewlabel.llm import html_text as ht
+from fewlabel.llm import secrets as sec
 from fewlabel.llm import token_counts as tc
 from fewlabel.llm.common import table
 
@@ -35,3 +39,23 @@ def piece_model() -> str:
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sec.secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "entropy")
+    count = {k: F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint") for k in sec.BASE_KINDS}
+    return found.select("doc_id", *[c.alias(f"n_{k}") for k, c in count.items()],
+                        F.sha2(sec.span_list(base), 256).alias("base_sha256"),
+                        sec.span_list(F.col("spans")).alias("spans"))
+
+
+@query("op8_decontaminate", dc.containment_sql())
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_main_text")
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.extract_text(table(spark, sf_dir, "pages"))
