@@ -12,6 +12,7 @@ from fewlabel.llm import decontaminate as dc
 from fewlabel.llm import html_text as ht
 from fewlabel.llm import secrets as sec
 from fewlabel.llm import token_counts as tc
+from fewlabel.llm import toxicity as tox
 from fewlabel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), piece_model())
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tox.severity(docs, tox.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op2_secrets")
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sec.secret_spans(table(spark, sf_dir, "documents"))
