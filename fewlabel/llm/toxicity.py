@@ -36,10 +36,12 @@ from fewlabel.llm.common import importable, map_texts, pick, text_list
 
 #: Most labelled rows that a fit reads.
 SAMPLE_ROWS = 10_000
-N_FEATURES = 2_000
+N_FEATURES = 1_000
 GRADES = 3
-#: A document is toxic if P(grade >= 1) reaches this.
-THRESHOLD = 0.5
+#: Least likelihood ratio (in nats) of a kept feature; weaker ones are chance among this many words.
+LEAST_RATIO = 10.0
+#: A document is toxic if P(grade >= 1) reaches this; texts without any feature are near 0.01.
+THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7)
 #: Entries of a worker's table of words; a full table starts afresh.
 TABLE_ENTRIES = 300_000
@@ -172,9 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     all_ = pos + neg
     ratio = part(pos, all_ * n1 / (n1 + n0)) + part(neg, all_ * n0 / (n1 + n0))
-    kept = (feature_counts(sample).where(all_ >= 3)
+    kept = (feature_counts(sample).where(all_ >= 5)
             .withColumn("ratio", F.round(ratio, 9)).withColumn("odds", F.log((pos + 0.5) / (n1 + 1)) - F.log((neg + 0.5) / (n0 + 1)))
-            .orderBy(F.desc("ratio"), "feature").limit(n_features).collect())
+            .where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "feature").limit(n_features).collect())
     features = [r["feature"] for r in kept]
     if not features:
         return OrdinalModel(cuts=np.full(n_grades, 30.0))
