@@ -52,8 +52,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sec.secret_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] != "entropy")
-    count = {k: F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint") for k in sec.BASE_KINDS}
-    return found.select("doc_id", *[c.alias(f"n_{k}") for k, c in count.items()],
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, sec.BASE_KINDS),
                         F.sha2(sec.span_list(base), 256).alias("base_sha256"),
                         sec.span_list(F.col("spans")).alias("spans"))
 
