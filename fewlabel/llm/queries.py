@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fewlabel.llm import decontaminate as dc
 from fewlabel.llm import html_text as ht
+from fewlabel.llm import quality as qu
 from fewlabel.llm import secrets as sec
 from fewlabel.llm import token_counts as tc
 from fewlabel.llm import toxicity as tox
@@ -37,6 +38,12 @@ def piece_model() -> str:
     return str(public_tokenizers.path(PIECE_MODEL))
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return qu.quality(docs, qu.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), piece_model())
