@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fewlabel.llm import decontaminate as dc
 from fewlabel.llm import html_text as ht
+from fewlabel.llm import learned_ann as ann
 from fewlabel.llm import piece_sampling as ps
 from fewlabel.llm import quality as qu
 from fewlabel.llm import secrets as sec
@@ -74,6 +75,11 @@ def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.encode(table(spark, sf_dir, "documents"), piece_model())
 
 
+@query("op7_learned_partitions")
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_decontaminate", dc.containment_sql())
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
