@@ -16,6 +16,7 @@ from fewlabel.llm import quality as qu
 from fewlabel.llm import secrets as sec
 from fewlabel.llm import token_counts as tc
 from fewlabel.llm import toxicity as tox
+from fewlabel.llm import warc_revisit as warc
 from fewlabel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_main_text")
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ht.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_warc_revisits", warc.revisit_sql())
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.crawl_of_pages(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical_url", F.unix_seconds("fetched").alias("fetched_s"), "type", "outcome", "refers_to",
+                        warc.header_text(F.col("headers")).alias("headers"), "digest", "length")
