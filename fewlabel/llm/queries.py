@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fewlabel.llm import decontaminate as dc
 from fewlabel.llm import html_text as ht
+from fewlabel.llm import jaccard_join as jj
 from fewlabel.llm import learned_ann as ann
 from fewlabel.llm import piece_sampling as ps
 from fewlabel.llm import quality as qu
@@ -41,6 +42,11 @@ def piece_model() -> str:
     return str(public_tokenizers.path(PIECE_MODEL))
 
 
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jj.similar_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

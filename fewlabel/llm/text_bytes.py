@@ -122,3 +122,19 @@ def shingles(hashes: np.ndarray, words: np.ndarray, k: int = 5) -> Iterator[np.n
             yield mix(np.array([(hashes[a:b] * _MULT[:b - a]).sum(dtype=np.uint64) + _U(b - a)], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def row_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, end) of at most ``limit`` bytes of text; a longer text is a run by itself."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
+        yield i, j
+        i = j
+
+
+def shingle_sets(col: pa.Array, k: int = 5, limit: int = 4 << 20) -> Iterator[np.ndarray]:
+    """Per text of a column, its set of shingle hashes (see ``shingles``), working on ``limit`` bytes at a time."""
+    data, offsets = text_buffer(col)
+    for i, j in row_groups(offsets, limit):
+        yield from shingles(*word_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]), k)
