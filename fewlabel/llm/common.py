@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from fewlabel.session import scratch_path
 
 
+#: The public tokenizer file of the queries and the pipeline.
+PIECE_MODEL = "piece_bpe_32k.model"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,6 +28,13 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
+def piece_model(name: str = PIECE_MODEL) -> str:
+    """The path of a public tokenizer file; the package that holds it is installed on all executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

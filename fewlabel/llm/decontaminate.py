@@ -83,6 +83,12 @@ def sketched(shingles: DataFrame, share=CONTAINMENT) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, share=CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_item, n_shared: the items that each document contains."""
+    return _found(docs, items, share, broadcast_rows).groupBy("doc_id", "item_id").agg(
+        F.max("n").cast("bigint").alias("n_item"), F.max("n_shared").alias("n_shared"))
+
+
+def _found(docs: DataFrame, items: DataFrame, share, broadcast_rows: int) -> DataFrame:
+    """doc_id, text_key (XXH64 of the text), item_id, n, n_shared of each text that contains an item."""
     rows = sketched(item_shingles(pick(items, item_id="bigint", text="string")), share)
     sizes = {r["k"]: r["c"] for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 5 rows
     table = rows.select("item_id", "n", "hash", "in_sketch")
@@ -98,15 +104,14 @@ def contained_items(docs: DataFrame, items: DataFrame, share=CONTAINMENT, broadc
              .agg(F.max("in_sketch").alias("in_sketch"))
              .groupBy("doc_id", "text_key", "item_id", "n")
              .agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate")))
-    found = pairs.where(F.col("candidate") & (F.col("n_shared") >= _need(F.col("n"), share)))
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("n").cast("bigint").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    return pairs.where(F.col("candidate") & (F.col("n_shared") >= _need(F.col("n"), share)))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, share=CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id contains no item; all columns stay, null doc_ids too."""
-    hit = contained_items(docs, items, share).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("bigint").eqNullSafe(hit["_hit"]), "left_anti")
+    """The rows of ``docs`` whose text contains no item; all columns stay, rows of null doc_ids and texts too."""
+    hit = _found(docs, items, share, BROADCAST_ROWS).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["_key"])
+    return docs.join(hit, same, "left_anti")
 
 
 _WORDS = f"[x for x in string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+') if x <> '']"

@@ -111,7 +111,7 @@ def cost_boundary(sizes: dict[int, int]) -> int:
 
 # -- reading the texts ------------------------------------------------------------
 
-META = "doc_id bigint, n bigint, set_id bigint, block int, counts binary"
+META = "doc_id bigint, text_key bigint, n bigint, set_id bigint, block int, counts binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +139,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add(parts)
         none = pa.nulls(len(n))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
-            names=["doc_id", "n", "set_id", "block", "counts"])
+            [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), none.cast(pa.int32()),
+             none.cast(pa.binary())], names=["doc_id", "text_key", "n", "set_id", "block", "counts"])
     rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(counts.reshape(-1, 1 << SKETCH_BLOCK)) if x.any()]
     if rows:
         none = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())],
-            names=["doc_id", "n", "set_id", "block", "counts"])
+            [none, none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())],
+            names=["doc_id", "text_key", "n", "set_id", "block", "counts"])
 
 
 def _sum_blocks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -418,14 +418,19 @@ def _links_by_blocks(active: DataFrame, sets: DataFrame, seed: int, parts: int)
 
 def similar_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return _classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (XXH64 of the text), n_shingles, component_id, root (of the component; null for empty sets)."""
     spark = docs.sparkSession
     importable(spark)
     sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, doc_id="bigint", text="string")
-    meta = written(d.mapInArrow(_read, META), "jaccard-texts")
-    texts = meta.where(F.col("block").isNull()).select("doc_id", "n", "set_id")
-    sizes = texts.where((F.col("n") > 0) & (F.col("n") <= 2 * MOST_SMALL)).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()
+    meta = written(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(_read, META), "jaccard-texts")
+    texts = meta.where(F.col("block").isNull()).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id")
+    sizes = texts.where(F.col("n_shingles").between(1, 2 * MOST_SMALL)).groupBy(F.col("n_shingles").alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()
     boundary = cost_boundary({r["n"]: r["k"] for r in sizes})
     with_prefix_from = next(n for n in range(1, boundary + 2) if n * DEN // NUM > boundary)
 
@@ -473,17 +478,33 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
     rooted = first.join(label, first["set_id"] == label["node"], "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    class_of = rooted.join(least, "root").select("set_id", "component_id")
-    some = texts.where("n > 0").join(class_of, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(texts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    class_of = rooted.join(least, "root").select("set_id", "component_id", "root")
+    out = ["doc_id", "text_key", "n_shingles", "component_id", "root"]
+    some = texts.where("n_shingles > 0").join(class_of, "set_id").select(*out)
+    none = texts.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("root", F.lit(None).cast("bigint"))
+    return some.unionByName(none.select(*out))
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is the first of its class: the row with the least doc_id; of
-    several rows with this doc_id the one whose text hashes lowest, and all its repetitions count as that row.
+    """The rows of ``docs``, all columns, that stand for their class: the row with the least doc_id (a null one only
+    in a class without others), of several rows with this id the one whose text hashes lowest, and of equal rows one.
 
-    Rows without words or without doc_id stay.
+    Rows without words stay.
     """
-    classes = similar_classes(docs).where("n_shingles > 0 and component_id is not null").select("doc_id", "component_id")
-    gone = classes.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    c = written(_classes(docs).where("n_shingles > 0"), "jaccard-classes")
+    best = c.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"))
+    best = best.select(F.col("root").alias("of"), F.col("best.doc_id").alias("best_id"), F.col("best.text_key").alias("best_key"))
+    keys = c.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("m")).join(best, F.col("root") == F.col("of"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_key") == F.col("best_key"))
+    keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "m", stays.alias("stays")), "jaccard-keys")
+
+    def same(k: DataFrame):
+        return docs["doc_id"].cast("bigint").eqNullSafe(k["_id"]) & (F.xxhash64(docs["text"].cast("string")) == k["_key"])
+
+    gone = keys.where("not stays").select("_id", "_key")
+    kept = docs.join(gone, same(gone), "left_anti")
+    again = keys.where("stays and m > 1").select("_id", "_key")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same(again), "left_anti").unionByName(repeated)

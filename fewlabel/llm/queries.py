@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +19,11 @@ from fewlabel.llm import secrets as sec
 from fewlabel.llm import token_counts as tc
 from fewlabel.llm import toxicity as tox
 from fewlabel.llm import warc_revisit as warc
-from fewlabel.llm.common import table
+from fewlabel.llm.common import piece_model, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: The public tokenizer file of the token queries.
-PIECE_MODEL = "piece_bpe_32k.model"
-
-
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -36,28 +33,6 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def piece_model() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(PIECE_MODEL))
-
-
-@query("op3_jaccard_join")
-def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jj.similar_classes(table(spark, sf_dir, "documents"))
-
-
-@query("op4_quality")
-def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return qu.quality(docs, qu.fit(docs, table(spark, sf_dir, "labels")))
-
-
-@query("op5_token_counts")
-def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tc.token_counts(table(spark, sf_dir, "documents"), piece_model())
-
-
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -102,3 +77,8 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.crawl_of_pages(table(spark, sf_dir, "pages")))
     return found.select("record_id", "canonical_url", F.unix_seconds("fetched").alias("fetched_s"), "type", "outcome", "refers_to",
                         warc.header_text(F.col("headers")).alias("headers"), "digest", "length")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
