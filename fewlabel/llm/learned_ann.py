@@ -193,8 +193,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100,
         return empty
     dim, n_rows = int(dims["d"]), int(dims["n"])
     v = v.where(F.size("v") == dim)
-    sample = v.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE_ROWS).toPandas()
-    x = np.unique(np.array(sample["v"].tolist(), np.float64), axis=0)
+    sample = v.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE_ROWS).select("v").toArrow()
+    x = np.unique(_matrix(sample.column("v").combine_chunks(), dim), axis=0)
     router = fit_router(x[np.random.default_rng(3).permutation(len(x))], n_rows)
 
     # equal vectors: one row with its k + 1 smallest ids; the group limit works in the map tasks, so a hot vector is no hot task
