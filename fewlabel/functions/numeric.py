@@ -50,6 +50,11 @@ def tsa_threshold(step, total_steps, num_classes) -> Column:
     return F.exp((t / total - F.lit(1.0)) * F.lit(5.0)) * (F.lit(1.0) - inv_k) + inv_k
 
 
+def annealed_confidence(step, total_steps, num_classes) -> Column:
+    """Confidence threshold that follows the annealing: the cube root of ``tsa_threshold``."""
+    return F.pow(tsa_threshold(step, total_steps, num_classes), F.lit(1.0 / 3.0))
+
+
 def total_steps(n_train: int, batch_size: int, accumulation: int = 1, max_epochs: int = 1,
                 max_steps: int = 0) -> tuple[int, int]:
     """(max_steps, max_epochs) as the trainer derives them from the train size."""

@@ -3,10 +3,8 @@
 Per class quota (computed on the driver from the K class counts):
 balanced = ``n // K``; proportional = ``floor(n * n_c / N)``.  Rows are taken in
 file order (an explicit ordinal column) or in seeded hash order.  A class with
-fewer rows than its quota keeps all of them.  Quotas are small integers, so the
-selection is ``row_number() <= max quota`` (Catalyst's WindowGroupLimit ships at
-most that many rows per class out of every map task) followed by the per-class
-cut.  For quotas too large for one task per class the ranks are bucketed.
+fewer rows than its quota keeps all of them.  Ranks are exact and bucketed, so no
+class is a single task, whatever its quota.
 """
 
 from __future__ import annotations
@@ -17,10 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.functions.keys import hash_key
-from fewlabel.operators.ranks import exact_rank, range_bucket, top_n
-
-# Above this per-class quota the ranking is bucketed instead of group-limited.
-TOP_N_LIMIT = 1_000_000
+from fewlabel.operators.ranks import exact_rank, quantile_bucket
 
 
 def quotas(df: DataFrame, n: int, balance: bool, label_col: str = "annotation") -> dict:
@@ -39,20 +34,16 @@ def quotas(df: DataFrame, n: int, balance: bool, label_col: str = "annotation")
 def label_budget(df: DataFrame, n: int, balance: bool = True, shuffle: bool = False,
                  seed: int = 42, label_col: str = "annotation", id_col: str = "id",
                  ord_col: str = "ord") -> DataFrame:
+    """``df`` cut to the quota of each class.  Rows with a NULL ordinal come first (NULL sorts
+    before all values); rows with a NULL label form a class of their own."""
     q = quotas(df, n, balance, label_col)
     if shuffle:
-        keyed = df.withColumn("_key", hash_key(seed, id_col))
-        order, bucket = ["_key", id_col], None
-    else:
-        keyed = df.withColumn("_key", F.lit(None).cast("string"))
-        order = [ord_col, id_col]
-        bucket = None
-    qmap = F.create_map(*[F.lit(x) for kv in q.items() for x in kv])
-    big = max(q.values(), default=0)
-    if big <= TOP_N_LIMIT:
-        ranked = top_n(keyed, order, big, partition_by=[label_col], name="_rank")
+        keyed, order, bucket = df.withColumn("_key", hash_key(seed, id_col)), ["_key", id_col], None
     else:
-        if not shuffle:
-            bucket = range_bucket(keyed, ord_col)
-        ranked = exact_rank(keyed, order, partition_by=[label_col], bucket=bucket, name="_rank")
-    return ranked.where(F.col("_rank") <= F.element_at(qmap, F.col(label_col))).drop("_rank", "_key")
+        keyed, order = df, [ord_col, id_col]
+        bucket = quantile_bucket(df, order)
+    ranked = exact_rank(keyed, order, partition_by=[label_col], bucket=bucket, name="_rank")
+    limit = F.lit(0)
+    for c, k in q.items():  # K classes
+        limit = F.when(F.col(label_col).eqNullSafe(F.lit(c)), F.lit(k)).otherwise(limit)
+    return ranked.where(F.col("_rank") <= limit).drop("_rank", "_key")

@@ -2,8 +2,8 @@
 
 Tokens are lower-cased words (pattern is a parameter).  The vocabulary is a
 table ``(token, token_id, n)``: special ids first, then tokens by count desc,
-token asc, capped at ``max_size`` rows so that it is safe to broadcast.
-Encoding is explode -> broadcast lookup -> one regroup by id; tokens beyond
+token asc; it holds every token unless a ``max_size`` is given.
+Encoding is explode -> lookup join -> one regroup by id; tokens beyond
 the truncation budget are dropped right after the explode, so at most
 ``max_length`` tokens per row are shuffled.
 """
@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fewlabel.operators.ranks import exact_rank, quantile_bucket
+from fewlabel.session import checkpoint_dir
+
 # Special tokens and their ids.
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
 SPECIAL_IDS = {PAD: 0, UNK: 1, CLS: 2, SEP: 3}
-WORD_PATTERN = "[^a-z0-9]+"
-DEFAULT_VOCAB_SIZE = 30000
+WORD_PATTERN = r"[^\p{L}\p{N}]+"
 
 
 def _c(x) -> Column:
@@ -29,23 +31,25 @@ def tokenize(text, pattern: str = WORD_PATTERN) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), pattern), "")
 
 
-def vocabulary(df: DataFrame, text_cols, pattern: str = WORD_PATTERN,
-               max_size: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
-    """``(token, token_id, n)``: the ``max_size`` most frequent tokens (ties by
-    token) with ids after the special ids.  Counting is a partial aggregate;
-    the cut is a bounded top-k (each task keeps at most ``max_size`` rows)."""
+def vocabulary(df: DataFrame, text_cols, pattern: str = WORD_PATTERN, max_size: int | None = None) -> DataFrame:
+    """``(token, token_id, n)``: all tokens by count desc, token asc, with ids after the special
+    ids; only the ``max_size`` most frequent ones if that is given.
+
+    Counting is a partial aggregate; the counts are checkpointed (they are read three times)
+    and numbered by the exact bucketed rank, so no task sees the whole vocabulary."""
     if isinstance(text_cols, str):
         text_cols = [text_cols]
     toks = None
     for c in text_cols:
         t = df.select(F.explode(tokenize(c, pattern)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(max_size)
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("n").desc(), F.col("token"))  # over <= max_size rows
-    return top.select("token", (F.row_number().over(w) + len(SPECIAL_IDS) - 1).cast("bigint").alias("token_id"),
-                      "n")
+    checkpoint_dir(df.sparkSession)
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    keyed = counts.withColumn("_neg", -F.col("n"))
+    ranked = exact_rank(keyed, ["_neg", "token"], bucket=quantile_bucket(keyed, ["_neg", "token"]), name="_rank")
+    if max_size is not None:
+        ranked = ranked.where(F.col("_rank") <= F.lit(int(max_size)))
+    return ranked.select("token", (F.col("_rank") + len(SPECIAL_IDS) - 1).cast("bigint").alias("token_id"), "n")
 
 
 def pair_budget(a_len: Column, b_len: Column, max_length: int) -> tuple[Column, Column]:
@@ -80,7 +84,7 @@ def encode_features(df: DataFrame, vocab: DataFrame, max_length: int, text_a: st
                     lambda t, i: F.struct(F.lit(1).alias("side"), i.alias("pos"), t.alias("token"))))
     ex = base.select("_id", *carry, F.explode_outer(tagged).alias("t")).select(
         "_id", *carry, "t.side", "t.pos", "t.token")
-    v = F.broadcast(vocab.select(F.col("token"), F.col("token_id")))  # size-capped table
+    v = vocab.select(F.col("token"), F.col("token_id"))  # grows with the corpus: no broadcast hint
     j = ex.join(v, "token", "left").withColumn(
         "token_id", F.when(F.col("token").isNull(), F.lit(None)).otherwise(
             F.coalesce(F.col("token_id"), F.lit(SPECIAL_IDS[UNK]).cast("bigint"))))

@@ -8,6 +8,7 @@ exact in its counts, reproducible and the same on any partitioning.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,6 @@ from fewlabel.operators.ranks import exact_rank, top_n
 UNL = "UNL"
 EXAMPLE_COLUMNS = ["id", "annotation", "sentence", "topic"]
 
-# Parameter-bounded tables up to this many rows are broadcast explicitly.
-BROADCAST_ROWS = 2_000_000
-
 
 # ---------------------------------------------------------------- shaping (B1-B5, H3)
 def compose_id(df: DataFrame, prefix: str, parts: Sequence[str], name: str = "id",
@@ -91,12 +89,14 @@ def distinct_labels(df: DataFrame, col: str = "annotation") -> DataFrame:
 # ---------------------------------------------------------------- random splits (E1-E5)
 def fraction_split(df: DataFrame, fractions: Sequence[float], names: Sequence[str], seed: int = 42,
                    id_col: str = "id", split_col: str = "split") -> DataFrame:
-    """Shuffle, then cut at ``floor(n * cumulative fraction)``; the last part takes the rest."""
+    """Shuffle, then cut at ``floor(n * cumulative fraction)``; the last part takes the rest.
+
+    Fractions are summed as decimals, so 0.7 and 0.1 of ten rows cut at 7 and 8."""
     assert len(fractions) == len(names)
     n = df.count()
-    cuts, acc = [], 0.0
+    cuts, acc = [], Decimal(0)
     for f in fractions[:-1]:
-        acc += f
+        acc += Decimal(str(f))
         cuts.append(int(n * acc))
     ranked = exact_rank(df.withColumn("_key", hash_key(seed, id_col)), ["_key", id_col], name="_rank")
     expr = F.lit(names[-1])
@@ -119,13 +119,11 @@ def carve_splits(df: DataFrame, quotas: Sequence[tuple[str, int]], seed: int = 4
     rank) go to split 1, the next ``q2`` to split 2, ...; all other labelled rows
     and all unlabelled rows become ``unlabelled`` (their annotation too).
 
-    The ranked side has at most ``classes x sum(quotas)`` rows, so it is picked
-    with a group limit and broadcast back when that bound is small; otherwise
-    ranks are computed exactly over all labelled rows (bucketed, no hot task).
+    A NULL label counts as unlabelled.  Ranks are exact over all labelled rows and
+    bucketed, so a class with a third of the rows is no single task; ids need not be
+    unique, and every row comes out once.
     """
-    total = sum(q for _, q in quotas)
-    lab = df.where(F.col(label_col) != unlabelled)
-    n_classes = lab.select(label_col).distinct().count()
+    is_lab = F.coalesce(F.col(label_col) != unlabelled, F.lit(False))
 
     def split_of(rank: Column) -> Column:
         expr, acc = F.lit(unlabelled), 0
@@ -137,18 +135,10 @@ def carve_splits(df: DataFrame, quotas: Sequence[tuple[str, int]], seed: int = 4
             expr = F.when(rank <= F.lit(bound), F.lit(nm)).otherwise(expr)
         return expr
 
-    if total * max(n_classes, 1) <= BROADCAST_ROWS:
-        picked = top_n(lab.select(id_col, label_col, hash_key(seed, id_col).alias("_key")),
-                       ["_key", id_col], total, partition_by=[label_col], name="_rank")
-        assign = picked.select(F.col(id_col), split_of(F.col("_rank")).alias(split_col))
-        out = df.join(F.broadcast(assign), id_col, "left")
-        out = out.withColumn(split_col, F.coalesce(F.col(split_col), F.lit(unlabelled)))
-    else:
-        ranked = exact_rank(lab.withColumn("_key", hash_key(seed, id_col)), ["_key", id_col],
-                            partition_by=[label_col], name="_rank")
-        ranked = ranked.withColumn(split_col, split_of(F.col("_rank"))).drop("_key", "_rank")
-        rest = df.where(F.col(label_col) == unlabelled).withColumn(split_col, F.lit(unlabelled))
-        out = ranked.unionByName(rest)
+    ranked = exact_rank(df.where(is_lab).withColumn("_key", hash_key(seed, id_col)), ["_key", id_col],
+                        partition_by=[label_col], name="_rank")
+    ranked = ranked.withColumn(split_col, split_of(F.col("_rank"))).drop("_key", "_rank")
+    out = ranked.unionByName(df.where(~is_lab).withColumn(split_col, F.lit(unlabelled)))
     return out.withColumn(label_col, F.when(F.col(split_col) == unlabelled, F.lit(unlabelled))
                           .otherwise(F.col(label_col)))
 
@@ -158,13 +148,14 @@ def topic_holdout(df: DataFrame, test_topic: str, val_size: float, seed: int = 4
     """Cross-topic split: ``test`` = rows of ``test_topic``; among the other
     topics ``floor((1 - val_size) * n)`` hash-ranked rows are ``train`` and the
     rest ``val``."""
-    others = df.where(F.col(topic_col) != test_topic)
+    is_test = F.col(topic_col).eqNullSafe(F.lit(test_topic))  # a NULL topic is another topic
+    others = df.where(~is_test)
     n = others.count()
-    n_train = int((1 - val_size) * n)
+    n_train = int((1 - Decimal(str(val_size))) * n)
     ranked = exact_rank(others.withColumn("_key", hash_key(seed, id_col)), ["_key", id_col], name="_rank")
     ranked = ranked.withColumn(split_col, F.when(F.col("_rank") <= n_train, F.lit("train"))
                                .otherwise(F.lit("val"))).drop("_key", "_rank")
-    test = df.where(F.col(topic_col) == test_topic).withColumn(split_col, F.lit("test"))
+    test = df.where(is_test).withColumn(split_col, F.lit("test"))
     return ranked.unionByName(test)
 
 

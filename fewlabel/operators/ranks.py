@@ -3,7 +3,7 @@
 ``row_number() over (order by k)`` with no partition runs in one task, and a
 per-class window has only K partitions, one of which may hold a third of the
 rows.  ``exact_rank`` instead splits every group into buckets that are monotone
-in the order key (hash prefix, or value range), counts rows per bucket (a table
+in the order key (hash prefix, or sampled quantiles), counts rows per bucket (a table
 of groups x buckets rows, independent of the data size), turns the counts into
 offsets with a running sum, and numbers rows inside each (group, bucket).  The
 result equals the plain window, but the heavy window work is spread over
@@ -60,23 +60,38 @@ def exact_rank(df: DataFrame, order_by: Sequence, partition_by: Sequence | None
     offsets = counts.select(*parts, "_rk_b",
                             (F.sum("_rk_n").over(w_off) - F.col("_rk_n")).alias("_rk_off"))
     # offsets has groups x buckets rows; AQE turns this into a broadcast join
-    # when its measured size is under the broadcast threshold.
-    j = b.join(offsets, on=[*parts, "_rk_b"], how="inner")
+    # when its measured size is under the broadcast threshold.  Null groups and
+    # null order keys are groups and buckets of their own (nulls first).
+    keys = [*parts, "_rk_b"]
+    offsets = offsets.select(*[F.col(k).alias(f"_rk_k{i}") for i, k in enumerate(keys)], "_rk_off")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & b[k].eqNullSafe(F.col(f"_rk_k{i}"))
+    j = b.join(offsets, same, "inner").drop(*[f"_rk_k{i}" for i in range(len(keys))])
     w = Window.partitionBy(*parts, "_rk_b").orderBy(*order)
     return (j.withColumn(name, (F.col("_rk_off") + F.row_number().over(w)).cast("bigint"))
             .drop("_rk_b", "_rk_off"))
 
 
-def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
-    """Monotone equal-width bucket of a numeric column (for ordinals).
+def quantile_bucket(df: DataFrame, order_by: Sequence, n_buckets: int = 128, sample: int = 8192) -> Column:
+    """Monotone bucket of the rows in ``order_by`` order, about equally full.
 
-    One aggregate row (min, max) comes to the driver.
+    The bounds are quantiles of a bounded sample (the rows with the smallest hash),
+    compared as whole order keys, so that ties in the first column are split by the
+    next ones and an extreme value shifts no bound.  Nulls sort first.
     """
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    if lo is None:
+    cols = _cols(order_by)
+    key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
+    rows = df.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
+    cuts = (rows.select(F.sort_array(F.collect_list("_k")).alias("k"))
+            .select(F.expr(f"array_distinct(transform(sequence(1, {n_buckets - 1}), i -> k[cast(i * size(k) div {n_buckets} as int)]))").alias("k"))
+            .first()["k"])
+    kind = rows.schema["_k"].dataType
+    cuts = [c for c in cuts if c is not None] if cuts else []
+    if not cuts:
         return F.lit(0).cast("bigint")
-    width = (float(hi) - float(lo) + 1.0) / n_buckets
-    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("bigint")
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields)]) for c in cuts])
+    return F.size(F.filter(bounds, lambda b: b <= key)).cast("bigint")
 
 
 def top_n(df: DataFrame, order_by: Sequence, n: int, partition_by: Sequence | None = None,

@@ -86,10 +86,11 @@ def cross_topic_matrix(runs: DataFrame, task_col: str, topic_col: str, metric: s
 def best_run_per_task(runs: DataFrame, task_col: str = "task", legacy_col: str | None = "legacy_task",
                       score_col: str = "val_acc", run_col: str = "run_id") -> DataFrame:
     """Per task the run with the highest validation score (ties: lowest run id).
-    A missing task is filled from the legacy column first.  The per-task
+    A missing task is filled from the legacy column first; a NaN score never wins.  The per-task
     window is a top-1, so map tasks pre-limit before the shuffle."""
     r = runs
     if legacy_col:
         r = r.withColumn(task_col, F.coalesce(F.col(task_col), F.col(legacy_col)))
-    return top_n(r, [F.col(score_col).desc(), F.col(run_col)], 1, partition_by=[task_col],
+    r = r.where(F.col(score_col).isNull() | ~F.isnan(score_col))
+    return top_n(r, [F.col(score_col).desc_nulls_last(), F.col(run_col)], 1, partition_by=[task_col],
                  name="_r").drop("_r")

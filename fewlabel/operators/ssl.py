@@ -67,17 +67,21 @@ def pseudo_label_pairs(scores: DataFrame, threshold, only_wrong: bool = True, ca
         pairs = pairs.where(F.col("target") != F.col("pseudo"))
     pairs = pairs.drop("_r", "best_prob", "target").withColumnRenamed("pseudo", "target")
     if cap is not None:
-        keys = [step_col] if step_col else []
-        wc = Window.partitionBy(*keys).orderBy(id_col, "branch")
+        if step_col is None:
+            return pairs.orderBy(id_col, "branch").limit(int(cap))  # a bounded top-k, merged from the tasks
+        wc = Window.partitionBy(step_col).orderBy(id_col, "branch")
         pairs = pairs.withColumn("_k", F.row_number().over(wc)).where(F.col("_k") <= F.lit(int(cap))).drop("_k")
     return pairs
 
 
 def with_class_weights(df: DataFrame, weights: DataFrame | None, label_col: str = "label") -> DataFrame:
-    """Join per-class weights ``(label, weight)`` (K rows); weight 1 when None."""
+    """Join per-class weights ``(label, weight)`` (K rows); weight 1 when None.  A label without
+    a weight raises: its loss would be lost while its row still counts."""
     if weights is None:
         return df.withColumn("weight", F.lit(1.0))
-    return df.join(F.broadcast(weights.select(F.col("label").alias(label_col), "weight")), label_col, "left")
+    j = df.join(F.broadcast(weights.select(F.col("label").alias(label_col), "weight")), label_col, "left")
+    lost = F.raise_error(F.concat(F.lit("no class weight for label "), F.coalesce(F.col(label_col).cast("string"), F.lit("NULL"))))
+    return j.withColumn("weight", F.when(F.col("weight").isNotNull(), F.col("weight")).otherwise(lost.cast("double")))
 
 
 def losses(df: DataFrame, label_col: str = "label", logits_col: str = "logits") -> DataFrame:
@@ -119,10 +123,19 @@ def class_weights_from_labels(df: DataFrame, label_col: str = "label") -> DataFr
 
 
 def ssl_loss(labelled: DataFrame, pairs: DataFrame, weights: DataFrame | None, lambda_u: float,
-             step_col: str = "step", label_col: str = "label", logits_col: str = "logits") -> DataFrame:
+             step_col: str = "step", label_col: str = "label", logits_col: str = "logits",
+             tsa=None) -> DataFrame:
     """Per step ``sup_loss + lambda_u * unsup_loss``; the unsupervised part is
-    the weighted mean over the step's pseudo-label pairs, 0 without pairs."""
-    sup = weighted_loss(labelled, weights, by=[step_col], label_col=label_col, logits_col=logits_col)
+    the weighted mean over the step's pseudo-label pairs, 0 without pairs.
+
+    ``tsa`` (a number or column: the annealed threshold of the row's step) turns the
+    labelled part into the annealed loss: rows that are right and above the threshold
+    add nothing, and the sum is divided by the batch size."""
+    if tsa is None:
+        sup = weighted_loss(labelled, weights, by=[step_col], label_col=label_col, logits_col=logits_col)
+    else:
+        masked = tsa_mask(labelled, tsa, label_col, logits_col).drop("max_prob", "target")
+        sup = tsa_loss(masked, weights, by=[step_col], label_col=label_col, logits_col=logits_col)
     sup = sup.select(step_col, F.col("loss").alias("sup_loss"))
     p = pairs.select(step_col, F.col("target").alias(label_col), logits_col)
     uns = weighted_loss(p, weights, by=[step_col], label_col=label_col, logits_col=logits_col)

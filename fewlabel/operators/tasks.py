@@ -50,7 +50,7 @@ def task_examples(df: DataFrame, task: str, augmentations: DataFrame | None = No
     """Apply the task filter; when augmentations are given, keep only those of
     surviving ids (left semi join).  Returns ``(examples, augmentations)``."""
     spec = TASKS[task]
-    ex = df.where(F.col(label_col) != NO_ARGUMENT) if spec.drop_no_argument else df
+    ex = df.where(~F.col(label_col).eqNullSafe(NO_ARGUMENT)) if spec.drop_no_argument else df
     aug = None
     if augmentations is not None:
         aug = augmentations.join(ex.select(id_col), id_col, "left_semi")

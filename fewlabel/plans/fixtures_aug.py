@@ -24,7 +24,7 @@ LEX_P = [0.5, 0.3, 0.2]
 
 
 def _tok_sql(col: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower(coalesce({col}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array(lower(coalesce({col}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 def _ranked_words(docs: DataFrame, n: int, seed: str) -> DataFrame:

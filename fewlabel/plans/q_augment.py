@@ -26,7 +26,7 @@ def _plan_values(spec) -> str:
     return f"(values {rows}) pv(side, aug_name, n, params)"
 
 
-CORE = "'^[^A-Za-z0-9]*(.*?)[^A-Za-z0-9]*$'"
+CORE = r"'^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}]*$'"
 
 
 def substitution_sql(spec, lookup_ctes: str, lookup_join: str, cands_expr: str, default_aug_p: float,
@@ -42,7 +42,7 @@ t as (select id, case when annotation = 'UNL' then 'unlabelled' else 'labelled'
              string_split(sentence, ' ') as toks from ex),
 u0 as (select id, side, p - 1 as pos, toks[p] as token,
               lower(regexp_extract(toks[p], {CORE}, 1)) as core from t, unnest(range(1, len(toks) + 1)) r(p)),
-u as (select id, side, pos, token, case when regexp_full_match(core, '[a-z0-9]+') then core end as word from u0),
+u as (select id, side, pos, token, case when regexp_full_match(core, '[\\p{{L}}\\p{{N}}]+') then core end as word from u0),
 u2 as (select *, lag(word) over (partition by id order by pos) as "left",
               lead(word) over (partition by id order by pos) as "right" from u),
 rows as (select u2.*, pv.aug_name, cast(pv.n as bigint) as n, pv.params from u2 join {_plan_values(spec)}
@@ -58,8 +58,8 @@ r as (select *, count(hk) over (partition by aug_name, n, params, id) as n_el,
              row_number() over (partition by aug_name, n, params, id order by hk nulls last) as rk from k2),
 s as (select *, case when hk is not null and rk <= (case when n_el = 0 then 0
                                                         else greatest(1, floor(aug_p * n_el)) end)
-                     then regexp_extract(token, '^([^A-Za-z0-9]*)', 1) || {pick}
-                          || regexp_extract(token, '([^A-Za-z0-9]*)$', 1)
+                     then regexp_extract(token, '^([^\\p{{L}}\\p{{N}}]*)', 1) || {pick}
+                          || regexp_extract(token, '([^\\p{{L}}\\p{{N}}]*)$', 1)
                      else token end as new_token from r)
 select aug_name, n, params, id, string_agg(new_token, ' ' order by pos) as sentence
   from s group by aug_name, n, params, id"""

@@ -124,9 +124,9 @@ def q_pending_runs(spark, sf):
 
 
 @query("best_metric_per_task", f"""select legacy_task as task, max(val_acc) as max_val_acc
-  from {RUNS_SQL} r group by 1""")
+  from {RUNS_SQL} r where lifecycle_stage = 'active' group by 1""")
 def q_best_metric_per_task(spark, sf):
-    rv = runs_view(spark, sf).withColumnRenamed("task", "_t").withColumnRenamed("legacy_task", "task")
+    rv = runs_view(spark, sf).where("lifecycle_stage = 'active'").withColumnRenamed("task", "_t").withColumnRenamed("legacy_task", "task")
     return runs.best_metric_per_task(rv, "task", "val_acc", "max_val_acc")
 
 
@@ -147,8 +147,8 @@ def q_cross_topic_matrix(spark, sf):
 
 
 @query("best_run_per_task", f"""select coalesce(task, legacy_task) as task, run_id, val_acc, test_acc
-  from {RUNS_SQL} r
+  from {RUNS_SQL} r where lifecycle_stage = 'active'
 qualify row_number() over (partition by coalesce(task, legacy_task) order by val_acc desc, run_id) = 1""")
 def q_best_run_per_task(spark, sf):
-    b = runs.best_run_per_task(runs_view(spark, sf))
+    b = runs.best_run_per_task(runs_view(spark, sf).where("lifecycle_stage = 'active'"))
     return b.select("task", "run_id", "val_acc", "test_acc")

@@ -132,6 +132,16 @@ def q_fraction_split(spark, sf):
                                   SEED).select("id", "split")
 
 
+@query("fraction_split_uneven", f"""with l as {LAB_SQL},
+r as (select id, row_number() over (order by {KEY_SQL}, id) as rk, count(*) over () as n from l)
+select id, case when rk <= floor(n * 0.7) then 'train' when rk <= floor(n * 0.8) then 'val'
+                when rk <= floor(n * 0.83) then 'dev' else 'test' end as split
+  from r""")
+def q_fraction_split_uneven(spark, sf):
+    return prepare.fraction_split(labelled(spark, sf), [0.7, 0.1, 0.03, 0.17], ["train", "val", "dev", "test"],
+                                  SEED).select("id", "split")
+
+
 @query("topic_names", """select cast(doc_id as varchar) as id,
        replace(regexp_replace(source || '-' || lang || '-' || cast(doc_id as varchar), '-[^-]*$', ''),
                '-', ' ') as topic
@@ -158,6 +168,22 @@ def q_task_examples(spark, sf):
     return ex.select("id", "annotation")
 
 
+@query("task_examples_three", f"""select id, cast(case annotation when 'Argument_for' then 0
+       when 'Argument_against' then 1 when 'NoArgument' then 2 when 'UNL' then -1 end as bigint) as label
+  from {EX_SQL} ex""")
+def q_task_examples_three(spark, sf):
+    ex, _ = tasks.task_examples(examples(spark, sf), "SL3")
+    return tasks.encode_labels(ex, tasks.task_labels("SL3")).select("id", "label")
+
+
+@query("regression_labels", """select cast(doc_id as varchar) as id, cast(n_chars as double) / 100 as label
+  from documents""")
+def q_regression_labels(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"),
+                                             (F.col("n_chars") / 100).cast("string").alias("annotation"))
+    return tasks.encode_labels(d, [], mode="regression").select("id", "label")
+
+
 @query("encode_labels", f"""select id, cast(case annotation when 'Argument_for' then 0
        when 'Argument_against' then 1 when 'NoArgument' then 2 when 'UNL' then -1 end as bigint) as label
   from {EX_SQL} ex""")

@@ -71,6 +71,15 @@ def q_confidence_mask(spark, sf):
     return c.select("id", F.round("max_prob", 6).alias("max_prob"), "passes")
 
 
+@query("confidence_mask_tsa", f"""with {S_SQL}
+select id, round(max(max_prob), 6) as max_prob, max(max_prob) >= pow({THR_SQL}, 1.0::double / 3) as passes
+  from s group by id""")
+def q_confidence_mask_tsa(spark, sf):
+    thr = N.annealed_confidence(F.lit(float(TSA_STEP)), F.lit(float(TSA_T)), F.lit(float(TSA_K)))
+    c = ssl.confidence_mask(scores(spark, sf), thr)
+    return c.select("id", F.round("max_prob", 6).alias("max_prob"), "passes")
+
+
 @query("best_branch", f"""with {S_SQL}
 select id, branch as best_branch, target, round(max_prob, 6) as max_prob from s
 qualify row_number() over (partition by id order by max_prob desc, branch) = 1""")
@@ -152,6 +161,22 @@ def q_ssl_loss(spark, sf):
         F.round("loss", 6).alias("loss"))
 
 
+@query("ssl_loss_tsa", f"""with {PAIRS_SQL}, {W_SQL},
+sup as (select s.id // {STEP_IDS} as step,
+               sum(weight * (lse - logits[label + 1])
+                   * cast(max_prob <= {THR_SQL} or target <> label as bigint)) / count(*) as sup_loss
+          from s join w using (label) where branch = 0 group by 1),
+uns as (select step, sum(weight * (lse - logits[target + 1])) / sum(weight) as unsup_loss
+          from p join w on p.target = w.label group by 1)
+select step, round(sup_loss, 6) as sup_loss, round(coalesce(unsup_loss, 0), 6) as unsup_loss,
+       round(sup_loss + {LAMBDA_U} * coalesce(unsup_loss, 0), 6) as loss
+  from sup left join uns using (step)""")
+def q_ssl_loss_tsa(spark, sf):
+    lab = logits(spark, sf).where("branch = 0").withColumn("step", F.floor(F.col("id") / STEP_IDS).cast("bigint"))
+    x = ssl.ssl_loss(lab, pairs(spark, sf), weights(spark, sf), LAMBDA_U, step_col="step", tsa=tsa_thr())
+    return x.select("step", *[F.round(c, 6).alias(c) for c in ("sup_loss", "unsup_loss", "loss")])
+
+
 @query("ssl_report", f"""with {PAIRS_SQL},
 m as (select id // {STEP_IDS} as step, avg(cast(best_prob >= 0.95 as double)) as u_mask
         from r where rn = 1 group by 1),

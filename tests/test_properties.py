@@ -24,15 +24,12 @@ def test_exact_rank_equals_plain_window_and_ignores_partitioning(spark):
 
 def test_exact_rank_global_by_value_range(spark):
     df = spark.range(0, 500).select((F.col("id") * 7 % 101).alias("v"), F.col("id"))
-    got = ranks.exact_rank(df, ["v", "id"], bucket=ranks.range_bucket(df, "v", 16), name="r")
+    got = ranks.exact_rank(df, ["v", "id"], bucket=ranks.quantile_bucket(df, ["v", "id"], 16), name="r")
     rows = sorted((r.v, r.id, r.r) for r in got.collect())
     assert [r[2] for r in rows] == list(range(1, 501))
 
 
-@pytest.mark.parametrize("force_exact", [False, True])
-def test_carve_splits_exact_disjoint_and_conserving(spark, monkeypatch, force_exact):
-    if force_exact:
-        monkeypatch.setattr(prepare, "BROADCAST_ROWS", 0)
+def test_carve_splits_exact_disjoint_and_conserving(spark):
     ex = examples(spark, SF_CHECK)
     out = prepare.carve_splits(ex, [("train", 10), ("val", 10), ("test", 10)], seed=42)
     assert out.count() == ex.count()
@@ -43,13 +40,51 @@ def test_carve_splits_exact_disjoint_and_conserving(spark, monkeypatch, force_ex
     assert sum(c.values()) == ex.count()
 
 
-def test_carve_paths_agree(spark, monkeypatch):
-    ex = examples(spark, SF_SMALL)
-    q = [("train", 3), ("val", 2), ("test", 2)]
-    a = {tuple(r) for r in prepare.carve_splits(ex, q).select("id", "split", "annotation").collect()}
-    monkeypatch.setattr(prepare, "BROADCAST_ROWS", 0)
-    b = {tuple(r) for r in prepare.carve_splits(ex, q).select("id", "split", "annotation").collect()}
-    assert a == b
+def test_splits_keep_rows_with_nulls(spark):
+    rows = [(str(i), None if i % 5 == 0 else "ab"[i % 2], None if i % 7 == 0 else f"t{i % 3}", None if i % 4 == 0 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, annotation string, topic string, ord bigint")
+    carved = prepare.carve_splits(df, [("train", 5), ("test", 3)])
+    assert {r.id for r in carved.collect()} == {r[0] for r in rows} and carved.count() == 60
+    assert carved.where("split = 'UNL'").count() == 60 - 16
+    held = prepare.topic_holdout(df, "t1", 0.25)
+    c = {r.split: r["count"] for r in held.groupBy("split").count().collect()}
+    n_test = sum(r[2] == "t1" for r in rows)
+    assert c == {"test": n_test, "train": int(0.75 * (60 - n_test)), "val": 60 - n_test - int(0.75 * (60 - n_test))}
+    kept = budget.label_budget(df, 15, balance=True)
+    assert sorted((r["count"] for r in kept.groupBy("annotation").count().collect())) == [5, 5, 5]
+    first = [r.ord for r in kept.where("annotation = 'a'").collect()]
+    assert None in first  # a NULL ordinal comes first, it is not lost
+
+
+@pytest.mark.parametrize("n", [1, 7, 10, 97])
+@pytest.mark.parametrize("parts", [(0.7, 0.1, 0.2), (0.1, 0.2, 0.7), (0.33, 0.33, 0.34), (0.8, 0.15, 0.05), (0.3, 0.6, 0.1)])
+def test_fraction_split_cuts_at_exact_fractions(spark, n, parts):
+    from fractions import Fraction
+    df = spark.range(n).select(F.col("id").cast("string").alias("id"))
+    got = {r.split: r["count"] for r in prepare.fraction_split(df, parts, ["a", "b", "c"]).groupBy("split").count().collect()}
+    x, y = Fraction(str(parts[0])), Fraction(str(parts[0])) + Fraction(str(parts[1]))
+    want = {"a": int(n * x), "b": int(n * y) - int(n * x), "c": n - int(n * y)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_buckets_stay_even_with_an_extreme_value_and_a_hot_one(spark):
+    df = spark.range(4000).select(F.when(F.col("id") == 7, 10 ** 9).when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("v"), F.col("id").cast("string").alias("id"))
+    b = df.groupBy(ranks.quantile_bucket(df, ["v", "id"], 32)).count().toPandas()["count"]
+    assert b.max() < 3 * 4000 / 32
+    got = ranks.exact_rank(df, ["v", "id"], bucket=ranks.quantile_bucket(df, ["v", "id"], 32), name="r")
+    rows = sorted((r.v, r.id, r.r) for r in got.collect())
+    assert [r[2] for r in rows] == list(range(1, 4001))
+
+
+def test_length_buckets_keep_null_texts(spark):
+    df = spark.createDataFrame([("1", None), ("2", "x"), ("3", "yy" * 50)], "id string, sentence string")
+    assert sampling.length_buckets(df, 2, 0.5).count() == 3
+
+
+def test_a_nan_score_never_wins(spark):
+    from fewlabel.operators import runs
+    df = spark.createDataFrame([("t", 1, float("nan")), ("t", 2, 0.5), ("t", 3, None)], "task string, run_id int, val_acc double")
+    assert [r.run_id for r in runs.best_run_per_task(df, legacy_col=None).collect()] == [2]
 
 
 def test_fraction_split_counts(spark):
