@@ -1,6 +1,6 @@
 """Candidate fixtures built from the documents table (so they scale with it).
 
-* thesaurus: the ``N`` most frequent words, put in a seeded hash order; a word's
+* thesaurus: all words, put in a seeded hash order; a word's
   synonyms are the next three words of that order (scores 3, 2, 1);
 * bilingual lexicons: English words and pivot-language words, both in hash
   order; English rank ``r`` translates to pivot ranks ``r, r+1, r+2`` (mod N)
@@ -9,15 +9,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fewlabel.operators import features as FT
 from fewlabel.operators.augment import candidates as C
+from fewlabel.operators.ranks import exact_rank
 from fewlabel.plans.fixtures import table
 
-THES_N = 2000
-LEX_N = 1500
 # pivot language used for each model pair of the back-translation grid
 PIVOTS = {"transformer.wmt19.en-de": "de", "transformer.wmt19.en-ru": "fr"}
 LEX_P = [0.5, 0.3, 0.2]
@@ -27,24 +26,24 @@ def _tok_sql(col: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({col}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def _ranked_words(docs: DataFrame, n: int, seed: str) -> DataFrame:
-    v = FT.vocabulary(docs, ["text"], max_size=n)
-    w = Window.orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col("token"))), F.col("token"))  # n rows
-    return v.select(F.col("token").alias("word"), (F.row_number().over(w) - 1).alias("r"))
+def _ranked_words(docs: DataFrame, seed: str) -> DataFrame:
+    """``(word, r)``: all words of the texts, numbered from 0 in a seeded hash order (exact bucketed rank)."""
+    v = FT.vocabulary(docs, ["text"]).select(F.col("token").alias("word"))
+    v = v.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col("word"))))
+    return exact_rank(v, ["_h", "word"], name="r").select("word", (F.col("r") - 1).alias("r"))
 
 
-def _ranked_words_sql(where: str, n: int, seed: str) -> str:
+def _ranked_words_sql(where: str, seed: str) -> str:
     return f"""(select token as word,
            row_number() over (order by md5('{seed}:' || token), token) - 1 as r
-      from (select token from (select unnest({_tok_sql('text')}) as token from documents {where}) t
-             group by token order by count(*) desc, token limit {n}) v)"""
+      from (select distinct unnest({_tok_sql('text')}) as token from documents {where}) v)"""
 
 
 def thesaurus_long(spark: SparkSession, sf: str) -> DataFrame:
-    rw = _ranked_words(table(spark, sf, "documents"), THES_N, "syn")
-    rw = rw.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))   # over <= THES_N rows
-    a = rw.select("word", "r", "n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("d"))
-    a = a.withColumn("key", (F.col("r") + F.col("d")) % F.col("n"))
+    rw = _ranked_words(table(spark, sf, "documents"), "syn")
+    n = F.lit(max(rw.count(), 1))
+    a = rw.select("word", "r", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("d"))
+    a = a.withColumn("key", (F.col("r") + F.col("d")) % n)
     b = rw.select(F.col("word").alias("candidate"), F.col("r").alias("key"))
     return a.join(b, "key").select("word", "candidate", (F.lit(4) - F.col("d")).cast("bigint").alias("score"))
 
@@ -53,7 +52,7 @@ def thesaurus(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     return C.ranked(thesaurus_long(spark, sf), ["word"], k)
 
 
-THES_SQL = f"""rw as {_ranked_words_sql('', THES_N, 'syn')},
+THES_SQL = f"""rw as {_ranked_words_sql('', 'syn')},
 thl as (select a.word, b.word as candidate, 4 - d as score
           from rw a, (values (1), (2), (3)) dd(d), rw b
          where b.r = (a.r + d) % (select count(*) from rw)),
@@ -63,14 +62,13 @@ thes as (select word, list(candidate order by score desc, candidate) as cands fr
 def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """``(forward, backward)`` with columns ``(model, src, tgt, p)``."""
     docs = table(spark, sf, "documents")
-    en0 = _ranked_words(docs.where("lang = 'en'"), LEX_N, "en").withColumn("tag", F.lit("en"))
+    en0 = _ranked_words(docs.where("lang = 'en'"), "en")
+    n_en = en0.count()
     fw, bw = None, None
     for model, lang in PIVOTS.items():
-        pv0 = _ranked_words(docs.where(F.col("lang") == lang), LEX_N, lang).withColumn("tag", F.lit("pv"))
-        # m = size of the shorter list; windows over <= 2 * LEX_N rows
-        u = en0.unionByName(pv0).withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("tag")))
-        u = u.withColumn("m", F.min("cnt").over(Window.partitionBy())).where(F.col("r") < F.col("m"))
-        en, pv = u.where("tag = 'en'"), u.where("tag = 'pv'")
+        pv0 = _ranked_words(docs.where(F.col("lang") == lang), lang)
+        m = min(n_en, pv0.count())  # the words of the shorter list have a partner
+        en, pv = (x.where(F.col("r") < m).withColumn("m", F.lit(max(m, 1))) for x in (en0, pv0))
         d = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(p).alias("p")) for i, p in enumerate(LEX_P)]))
         e = en.select("word", "r", "m", d.alias("x")).select("word", "r", "m", "x.d", "x.p")
         f = e.withColumn("key", (F.col("r") + F.col("d")) % F.col("m")).join(
@@ -86,11 +84,11 @@ def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def lexicon_sql() -> str:
-    parts = [f"en as {_ranked_words_sql('where lang = \'en\'', LEX_N, 'en')}"]
+    parts = [f"en as {_ranked_words_sql('where lang = \'en\'', 'en')}"]
     fws, bws = [], []
     pvals = ", ".join(f"({i}, {p})" for i, p in enumerate(LEX_P))
     for i, (model, lang) in enumerate(PIVOTS.items()):
-        parts.append(f"pv{i} as {_ranked_words_sql('where lang = ' + repr(lang), LEX_N, lang)}")
+        parts.append(f"pv{i} as {_ranked_words_sql('where lang = ' + repr(lang), lang)}")
         parts.append(f"n{i} as (select least((select count(*) from en), (select count(*) from pv{i})) as n)")
         fws.append(f"""select '{model}' as model, a.word as src, b.word as tgt, cast(dd.p as double) as p
   from en a, (values {pvals}) dd(d, p), pv{i} b, n{i}

@@ -14,7 +14,7 @@ from fewlabel.plans.registry import query
 SEED = 42
 SPECS = {s.name: s for s in P.DEFAULT_SPECS}
 CTX_K = 50
-NEXT_STEPS = 5
+NEXT_STEPS = 10
 
 
 def _tok_sql(col: str) -> str:
@@ -192,7 +192,7 @@ def q_augment_sometimes(spark, sf):
     succ = C.successors(table(spark, sf, "documents"), k=50, top_p=0.9)
 
     def synonyms(df):
-        return A.substitute_rows(df, [(thes, ["word"])], aug_p=0.1, seed=SEED, broadcast_first=True)
+        return A.substitute_rows(df, [(thes, ["word"])], aug_p=0.1, seed=SEED)
 
     def next_words(df):
         return A.next_sentence(df.withColumn("params", F.lit("")), succ, NEXT_STEPS, SEED,
