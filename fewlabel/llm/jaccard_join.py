@@ -16,13 +16,14 @@ A text is the set of its 5-word shingles (64-bit hashes); two texts link when
 
 Links are found without listing the pairs of a group.  First each set goes with its
 shingles to one of its lists, long lists are dealt to blocks of bounded size, and the links
-inside a block give its components; twice, with different lists.  Then only pairs that
-share a list entry, pass the filters and are still in different components are formed,
-verified exactly on both sets, and joined to the final components.
+inside a block give its components; lists that still hold several components are dealt
+once more.  Then only pairs that share a list entry, pass the filters and are still in
+different components are formed, verified exactly on both sets, and joined to the final
+components.
 
 Memory and skew: lists of hot shingles are salted by the sketch; blocks hold at most
 ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES`` shingles (one larger set goes alone); the sketch
-has ``SKETCH`` counters (16 MB), the bitmap of wanted sets ``BITMAP`` bits (4 MB), both fixed
+has ``2 ** SKETCH_BITS`` counters (16 MB and 32 MB of salts), the bitmaps ``2 ** BITMAP_BITS`` bits (4 MB), both fixed
 sizes that are broadcast; beyond them the join only gets slower.  Every text is read
 three times, and shingles are shuffled only for sets in a list with a possible partner.
 
@@ -58,6 +59,8 @@ BITMAP_BITS = 25
 #: Lists up to this length are filtered member by member; hotter shingles are salted to about this many rows.
 LIST_ROWS = 2_048
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+#: Set ids that a task remembers to pass over copies before the shuffle (further copies go when lists are read).
+SEEN = 500_000
 #: Largest boundary between small and large sets that is considered.
 MOST_SMALL = 12
 
@@ -178,12 +181,20 @@ def _sketch(meta: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 ENTRY = "kind int, token bigint, salt int, hot boolean, set_id bigint, n int, pos int"
 
 
+def _prefix(s: np.ndarray, me: int, sketch: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order, the salt of each one's list, and whether that list is salted."""
+    classes, salts = sketch
+    bucket = (s >> _U(64 - SKETCH_BITS)).astype(np.int64)
+    first = np.argsort(classes[bucket], kind="stable")[:prefix_size(len(s))]  # s ascends, so equals go by hash
+    ways = salts[bucket[first]].astype(np.int64)
+    return s[first], np.where(ways > 1, (me & 0x7FFFFFFF) % np.maximum(ways, 1), 0).astype(np.int32), ways > 1
+
+
 def _entries(boundary: int, sketch, with_prefix_from: int):
-    """List entries (kind 0) and subset signatures (kind 1) of every text."""
+    """List entries (kind 0) and subset signatures (kind 1) of every text; equal sets of a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, salts = sketch.value
-        shift = _U(64 - SKETCH_BITS)
+        tables, seen = sketch.value, set()
 
         def out(parts: list) -> pa.RecordBatch:
             kind, token, salt, hot, ids, n, pos = (np.concatenate(x) for x in zip(*parts))
@@ -200,18 +211,20 @@ def _entries(boundary: int, sketch, with_prefix_from: int):
                 if not n:
                     continue
                 me = set_id(s)
+                if me in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(me)
                 if n <= boundary:
                     t = subset_signatures(s, boundary)
                     k = len(t)
                     zero = np.zeros(k, np.int32)
                     parts.append((zero + 1, t, zero, zero > 0, np.full(k, me), np.full(k, n, np.int32), zero))
                 if n >= with_prefix_from:
-                    bucket = (s >> shift).astype(np.int64)
-                    k = prefix_size(n)
-                    first = np.argsort(classes[bucket], kind="stable")[:k]  # s ascends, so equals go by hash
-                    ways = salts[bucket[first]].astype(np.int64)
-                    salt = np.where(ways > 1, (me & 0x7FFFFFFF) % np.maximum(ways, 1), 0).astype(np.int32)
-                    parts.append((np.zeros(k, np.int32), s[first], salt, ways > 1, np.full(k, me), np.full(k, n, np.int32),
+                    first, salt, hot = _prefix(s, me, tables)
+                    k = len(first)
+                    parts.append((np.zeros(k, np.int32), first, salt, hot, np.full(k, me), np.full(k, n, np.int32),
                                   np.arange(k, dtype=np.int32)))
                     held += k
                 if held > 200_000:
@@ -248,6 +261,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] |= c[1:] != c[:-1]
         return np.append(np.flatnonzero(new), b.num_rows)
 
+    def once(b: pa.RecordBatch) -> pa.RecordBatch:
+        """Without the copies: rows come sorted by list and set."""
+        new = np.ones(b.num_rows, bool)
+        cols = [b.column(k).to_numpy() for k in ("kind", "token", "salt", "set_id")]
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        return b if new.all() else b.filter(pa.array(new))
+
     def done(b: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
         kind, hot = b.column("kind").to_numpy(), b.column("hot").to_numpy(zero_copy_only=False)
         n, pos, ids = b.column("n").to_numpy(), b.column("pos").to_numpy(), b.column("set_id").to_numpy()
@@ -275,6 +295,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = b.select(names)
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        b = once(b)
         at = bounds(b)
         last = int(at[-2])
         if b.num_rows - last > 50 * LIST_ROWS:  # a list too long to hold: its rows pass unfiltered, as those of a hot one
@@ -379,41 +400,68 @@ def _bitmap(at: DataFrame) -> np.ndarray:
     return out
 
 
-def _wanted_sets(wanted):
-    """set_id and shingles of the texts whose document is in the bitmap (false hits are sorted out later)."""
+SETS = "set_id bigint, token bigint, salt int, shingles binary"
+
+
+def _wanted_sets(wanted, shared, sketch):
+    """The sets of the documents in one bitmap with their shingles and one list each: of their first shingles that
+    the other bitmap holds the one with the least hash (false hits of a bitmap only make needless rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, tokens, tables, seen = wanted.value, shared.value, sketch.value, set()
+
+        def hits(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+        def out(rows: list) -> pa.RecordBatch:
+            i, t, x, r = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(x, pa.int32()), pa.array(r, pa.binary())],
+                                              names=["set_id", "token", "salt", "shingles"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            at = b.column("at").to_numpy()
-            rows = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            ids, raw, held = [], [], 0
+            rows = np.flatnonzero(hits(bits, b.column("at").to_numpy()))
+            got, held = [], 0
             for s in tb.shingle_sets(b.column("text").take(pa.array(rows, pa.int64())), SHINGLE) if len(rows) else ():
-                if len(s):
-                    ids.append(set_id(s))
-                    raw.append(s.tobytes())
-                    held += len(s)
+                if not len(s) or (me := set_id(s)) in seen:
+                    continue
+                first, salt, _ = _prefix(s, me, tables)
+                on = hits(tokens, (first >> _U(64 - BITMAP_BITS)).astype(np.int64))
+                if not on.any():
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(me)
+                pick_ = np.flatnonzero(on)[np.argmin(tb.mix(first[on]))]
+                got.append((me, int(first[pick_].view(np.int64)), int(salt[pick_]), s.tobytes()))
+                held += len(s)
                 if held > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["set_id", "shingles"])
-                    ids, raw, held = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["set_id", "shingles"])
+                    yield out(got)
+                    got, held = [], 0
+            if got:
+                yield out(got)
 
     return run
 
 
-def _links_by_blocks(active: DataFrame, sets: DataFrame, seed: int, parts: int) -> DataFrame:
-    """a, b: links inside blocks of sets that share the list which ``seed`` picks for them."""
-    pick_ = active.groupBy("set_id", "n").agg(F.min_by(F.struct("token", "salt"), F.xxhash64("token", F.lit(seed))).alias("list"))
-    pick_ = pick_.select("set_id", "n", "list.token", "list.salt")
-    size = pick_.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where(F.col("m") > 1)
+def _links_by_blocks(open_: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """a, b: links inside blocks of sets that share one of the lists that are still open."""
+    pick_ = open_.groupBy("set_id", "n").agg(F.min_by("token", F.xxhash64("token")).alias("token"))
+    size = pick_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where(F.col("m") > 1)
     ways = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    dealt = (pick_.join(size.withColumn("ways", ways), ["token", "salt"])
+    dealt = (pick_.join(size.withColumn("ways", ways), "token")
              .withColumn("block", F.pmod(F.xxhash64("set_id", "token"), "ways")).select("set_id", "token", "block"))
-    return (dealt.join(sets, "set_id").repartition(parts, "token", "block").sortWithinPartitions("token", "block")
-            .mapInPandas(_block_links, "a bigint, b bigint"))
+    return (dealt.join(sets.select("set_id", "shingles"), "set_id").repartition(parts, "token", "block")
+            .sortWithinPartitions("token", "block").mapInPandas(_block_links, "a bigint, b bigint"))
+
+
+def _open_lists(active: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of lists that hold more than one component, with their component."""
+    act = (active.join(label, active["set_id"] == label["node"], "left")
+           .select("token", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("comp")))
+    mixed = act.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return written(act.join(mixed, "token", "left_semi"), "jaccard-open")
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -436,32 +484,28 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     sketch = sc.broadcast(_sketch(meta))  # of fixed size
     entries = d.select("text").mapInArrow(_entries(boundary, sketch, with_prefix_from), ENTRY)
-    # equal sets are one list member: copies meet in their own tasks before the shuffle
-    entries = entries.groupBy("kind", "token", "salt", "set_id").agg(F.max("hot").alias("hot"), F.max("n").alias("n"), F.max("pos").alias("pos"))
     lists = (entries.repartition(parts, "kind", "token", "salt").sortWithinPartitions("kind", "token", "salt", "set_id")
              .mapInArrow(_lists, ENTRY))
     lists = written(lists, "jaccard-lists")
     small_links = lists.where(F.col("kind") == 1).select(F.col("set_id").alias("a"), F.col("token").alias("b"))
-    active = lists.where(F.col("kind") == 0).select("token", "salt", "set_id", "n", "pos")
+    active = lists.where(F.col("kind") == 0).select("token", "set_id", "n", "pos")
 
-    # the shingles of the sets in a list, taken from the least document of each set
+    # the shingles of the sets in a list, taken from the least document of each set; both bitmaps are of fixed size
     first = texts.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     members = active.select("set_id").distinct()
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP_BITS).cast("int").alias("at")
-    wanted = sc.broadcast(_bitmap(first.join(members, "set_id").select(at)))  # of fixed size
-    sets = d.select(at, "text").mapInArrow(_wanted_sets(wanted), "set_id bigint, shingles binary")
-    sets = written(sets.join(members, "set_id", "left_semi").dropDuplicates(["set_id"]), "jaccard-sets")
+    wanted = sc.broadcast(_bitmap(first.join(members, "set_id").select(at)))
+    shared = sc.broadcast(_bitmap(active.select(F.shiftrightunsigned("token", 64 - BITMAP_BITS).cast("int").alias("at")).distinct()))
+    sets = written(d.select(at, "text").mapInArrow(_wanted_sets(wanted, shared, sketch), SETS), "jaccard-sets")
 
-    links = small_links
-    for seed in (1, 2):
-        links = links.unionByName(_links_by_blocks(active, sets, seed, parts))
-    label = components(links)
+    # links inside blocks of one list of each set, then inside blocks of another one of lists that are still mixed
+    by_list = sets.withColumnRenamed("salt", "block").repartition(parts, "token", "block").sortWithinPartitions("token", "block", "set_id")
+    label = components(small_links.unionByName(by_list.mapInPandas(_block_links, "a bigint, b bigint")))
+    more = _links_by_blocks(_open_lists(active, label), sets, parts)
+    label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # what blocks have left: pairs in one list that the filters allow and that are not yet connected
-    act = (active.join(label, active["set_id"] == label["node"], "left")
-           .select("token", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("comp")))
-    open_ = act.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    act = written(act.join(open_, "token", "left_semi"), "jaccard-open")
+    act = _open_lists(active, label)
     x, y = act.select(*[F.col(c).alias(f"{c}_a") for c in act.columns]), act.select(*[F.col(c).alias(f"{c}_b") for c in act.columns])
     need = F.expr(f"({NUM} * (n_a + n_b) + {NUM + DEN - 1}) div {NUM + DEN}")
     can = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= need

@@ -10,6 +10,8 @@ the truncation budget are dropped right after the explode, so at most
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,16 +66,17 @@ def pair_budget(a_len: Column, b_len: Column, max_length: int) -> tuple[Column,
 def encode_features(df: DataFrame, vocab: DataFrame, max_length: int, text_a: str = "sentence",
                     text_b: str | None = "topic", id_col: str = "id", label_col: str | None = "label",
                     pad_on_left: bool = False, pad_token: int = 0, pad_token_segment_id: int = 0,
-                    mask_padding_with_zero: bool = True, pattern: str = WORD_PATTERN) -> DataFrame:
+                    mask_padding_with_zero: bool = True, pattern: str = WORD_PATTERN,
+                    carry: Sequence[str] = ()) -> DataFrame:
     """``[CLS] a [SEP] b [SEP]`` ids, mask and segment ids padded to ``max_length``.
 
-    ``id_col`` must be unique.  Tokens missing from ``vocab`` map to ``[UNK]``.
+    ``id_col`` must be unique; the columns of ``carry`` come along.  Tokens missing from ``vocab`` map to ``[UNK]``.
     The output has ``id, input_ids, attention_mask, token_type_ids`` and the
     label column when given.  A length check raises on any other length.
     """
     ta = tokenize(text_a, pattern)
     tb = tokenize(text_b, pattern) if text_b else F.array().cast("array<string>")
-    carry = [label_col] if label_col else []
+    carry = [*([label_col] if label_col else []), *carry]
     base = df.select(F.col(id_col).alias("_id"), *carry, ta.alias("_ta"), tb.alias("_tb"))
     ka, kb = pair_budget(F.size("_ta"), F.size("_tb"), max_length)
     base = base.withColumns({"_ka": ka, "_kb": kb})
@@ -116,6 +119,17 @@ def encode_features(df: DataFrame, vocab: DataFrame, max_length: int, text_a: st
     return res.where(check.isNull())
 
 
+def encode_augmented(augmentations: DataFrame, examples: DataFrame, vocab: DataFrame, max_length: int,
+                     label_col: str = "label", **kw) -> DataFrame:
+    """Features of every augmented row, keyed by ``(id, aug_name, n, params)``: its text, an empty
+    topic, and the label of its example.  Rows of other ids drop out."""
+    lab = examples.select("id", label_col)
+    rows = augmentations.join(lab, "id").withColumn(
+        "_key", F.concat_ws("\u0001", "id", "aug_name", F.col("n").cast("string"), "params"))
+    enc = encode_features(rows, vocab, max_length, "sentence", None, "_key", label_col, carry=("id", "aug_name", "n", "params"), **kw)
+    return enc.drop("_key")
+
+
 def left_truncate(tokens, keep: int = 1024) -> Column:
     """The last ``keep`` elements of an array."""
     t = _c(tokens)
