@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fewlabel.operators import prepare
+from fewlabel.operators import metrics, prepare
 from fewlabel.plans import q_features, q_sampling
 from fewlabel.plans.fixtures import EX_SQL, LAB_SQL, examples, labelled, table
 from fewlabel.plans.registry import query
@@ -48,6 +48,23 @@ def q_read_augmentations_dir(spark, sf):
     return tsv.read_augmentations_dir(spark, path).select("aug_name", "n", "params", "id", "sentence")
 
 
+@query("read_csv", """select cast(doc_id as varchar) as id, text as sentence, source as topic from documents""")
+def q_read_csv(spark, sf):
+    path = _scratch(spark, "reviews.csv")
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("sentence"), F.col("source").alias("topic"))
+    tsv.write_csv(d, path)
+    return tsv.read_csv(spark, path, "id string, sentence string, topic string")
+
+
+@query("append_metrics", """select user_id as run_id, event_type as metric, event_id as step, value from events""")
+def q_append_metrics(spark, sf):
+    path = _scratch(spark, "metrics")
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric"), F.col("event_id").alias("step"), "value")
+    for half in (0, 1):
+        metrics.append_metrics(ev.where(F.col("step") % 2 == half).repartition("metric"), path)
+    return spark.read.parquet(path).select("run_id", "metric", "step", "value")
+
+
 @query("read_headerless", f"select id, sentence, annotation from {LAB_SQL} l")
 def q_read_headerless(spark, sf):
     path = _scratch(spark, "sentences")

@@ -49,6 +49,15 @@ def read_examples_tsv(spark: SparkSession, path: str, schema: T.StructType = EXA
     return df
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True) -> DataFrame:
+    """Delimited text with a header; quoted fields may hold separators and newlines."""
+    return _reader(spark, schema, header).option("sep", sep).csv(path)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
+    df.write.mode(mode).options(**TSV_OPTIONS).option("sep", sep).option("header", "true").csv(path)
+
+
 def write_examples_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None,
                        mode: str = "overwrite", header: bool = True) -> None:
     """TSV with header, projected to ``columns`` (no index column)."""
