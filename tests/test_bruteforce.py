@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pandas as pd
+import regex
 
 from fewlabel.operators.augment import augmentors as A
 from fewlabel.operators.augment import candidates as C
@@ -18,7 +19,7 @@ SPLIT = re.compile(r"(?<=[.!?])\s+|\n+", re.ASCII)
 
 
 def tokenize(s):
-    return [t for t in re.split(r"[^a-z0-9]+", (s or "").lower()) if t]
+    return [t for t in regex.split(r"[^\p{L}\p{N}]+", (s or "").lower()) if t]
 
 
 def py_summary(text, frac, min_words=10):
