@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,8 +49,8 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[c].cast(t).alias(c) for c, t in cols.items()])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
+def written(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back; its path is added to ``made``.
 
     Cuts the lineage: what follows survives lost executors and does not repeat
     the work before it.
@@ -57,9 +58,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for p in made:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    made.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written: it removes them when
+    the driver's garbage collection finds that no plan refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches are passed over."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import written
+from fewlabel.llm.common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -27,14 +27,19 @@ def components(edges: DataFrame) -> DataFrame:
     them, which at least halves the paths to it; the edges are written after every round.
     Self-loops and repeated edges are fine; no edges give no rows.
     """
-    e = written(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    before: list[str] = []
+    e = written(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", before)
     mark = None
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = _with_least(large)
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = written(small.select("x.a", "x.b").where(F.col("a") != F.col("b")).distinct(), "edges")
+        now: list[str] = []
+        e = written(small.select("x.a", "x.b").where(F.col("a") != F.col("b")).distinct(), "edges", now)
+        discard(spark, before)
+        before = now
         row = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if mark == row:
             break

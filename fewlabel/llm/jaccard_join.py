@@ -16,14 +16,14 @@ A text is the set of its 5-word shingles (64-bit hashes); two texts link when
 
 Links are found without listing the pairs of a group.  First each set goes with its
 shingles to one of its lists, long lists are dealt to blocks of bounded size, and the links
-inside a block give its components; lists that still hold several components are dealt
-once more.  Then only pairs that share a list entry, pass the filters and are still in
+inside a block give its components; long lists that still hold several components are
+dealt once more.  Then only pairs that share a list entry, pass the filters and are still in
 different components are formed, verified exactly on both sets, and joined to the final
 components.
 
 Memory and skew: lists of hot shingles are salted by the sketch; blocks hold at most
 ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES`` shingles (one larger set goes alone); the sketch
-has ``2 ** SKETCH_BITS`` counters (16 MB and 32 MB of salts), the bitmaps ``2 ** BITMAP_BITS`` bits (4 MB), both fixed
+has ``2 ** SKETCH_BITS`` counters (32 MB), the bitmaps ``2 ** BITMAP_BITS`` bits (4 MB), both fixed
 sizes that are broadcast; beyond them the join only gets slower.  Every text is read
 three times, and shingles are shuffled only for sets in a list with a possible partner.
 
@@ -48,17 +48,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.llm import text_bytes as tb
-from fewlabel.llm.common import importable, pick, written
+from fewlabel.llm.common import discard, importable, pick, release, written
 from fewlabel.llm.components import components
 
 SHINGLE = 5
 #: Jaccard threshold as a fraction.
 NUM, DEN = 80, 100
-SKETCH_BITS, SKETCH_BLOCK = 24, 16
+SKETCH_BITS, SKETCH_BLOCK = 25, 16
 BITMAP_BITS = 25
 #: Lists up to this length are filtered member by member; hotter shingles are salted to about this many rows.
 LIST_ROWS = 2_048
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+#: Lists of more sets that still hold several components go through blocks once more before pairs are formed.
+HEAVY = 64
 #: Set ids that a task remembers to pass over copies before the shuffle (further copies go when lists are read).
 SEEN = 500_000
 #: Largest boundary between small and large sets that is considered.
@@ -144,8 +146,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), none.cast(pa.int32()),
              none.cast(pa.binary())], names=["doc_id", "text_key", "n", "set_id", "block", "counts"])
-    rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(counts.reshape(-1, 1 << SKETCH_BLOCK)) if x.any()]
-    if rows:
+    blocks = counts.reshape(-1, 1 << SKETCH_BLOCK)
+    filled = np.flatnonzero(blocks.any(axis=1)).tolist()
+    for i in range(0, len(filled), 64):
+        rows = [(k, zlib.compress(blocks[k].tobytes(), 1)) for k in filled[i:i + 64]]
         none = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())],
@@ -163,30 +167,44 @@ def _sum_blocks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"block": list(sums), "counts": [zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in sums.values()]})
 
 
-def _sketch(meta: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Per counter (of fixed number) its frequency class, in steps of half an octave over the mean count, and the
-    number of lists that a shingle as frequent is dealt to."""
+def _sketch(meta: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Per counter (of fixed number) its frequency class, in steps of half an octave over the mean count (packed); and the
+    counters of shingles so frequent that their list is dealt to several, with how many these are."""
+    mean = (meta.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     blocks = meta.where(F.col("block").isNotNull()).select("block", "counts")
-    tasks = min(64, 1 << (SKETCH_BITS - SKETCH_BLOCK))
-    got = blocks.repartition(tasks, "block").mapInPandas(_sum_blocks, "block int, counts binary").collect()  # a row per block
-    counts = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK), 1 << SKETCH_BLOCK), np.float32)
-    for r in got:
-        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint16)
-    flat = counts.ravel()
-    mean = float(flat.mean(dtype=np.float64))
-    salt = np.maximum(flat - 3 * mean, 0) / LIST_ROWS
-    return np.floor(2 * np.log2(1 + flat / (mean + 1))).astype(np.uint8), np.minimum(np.ceil(salt), 65535).astype(np.uint16)
+    got = blocks.repartition(64, "block").mapInPandas(_sum_blocks, "block int, counts binary")
+    classes = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK), 1 << SKETCH_BLOCK), np.uint8)
+    hot, hot_ways = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in got.toLocalIterator():  # a row of at most 128 KB per block
+        x = np.frombuffer(zlib.decompress(r["counts"]), np.uint16).astype(np.float32)
+        classes[r["block"]] = np.floor(2 * np.log2(1 + x / (mean + 1)))
+        ways = np.ceil((x - 3 * mean) / LIST_ROWS).astype(np.int64)
+        on = np.flatnonzero(ways > 1)
+        hot.append(on + (r["block"] << SKETCH_BLOCK))
+        hot_ways.append(ways[on])
+    hot, hot_ways = np.concatenate(hot), np.concatenate(hot_ways)
+    order = np.argsort(hot)
+    return zlib.compress(classes.tobytes(), 1), hot[order], hot_ways[order]
+
+
+def _unpacked(sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sketch for the time of a task."""
+    classes, hot, hot_ways = sketch.value
+    return np.frombuffer(zlib.decompress(classes), np.uint8), hot, hot_ways
 
 
 ENTRY = "kind int, token bigint, salt int, hot boolean, set_id bigint, n int, pos int"
 
 
-def _prefix(s: np.ndarray, me: int, sketch: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _prefix(s: np.ndarray, me: int, sketch: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first shingles of a set in the common order, the salt of each one's list, and whether that list is salted."""
-    classes, salts = sketch
+    classes, hot, hot_ways = sketch
     bucket = (s >> _U(64 - SKETCH_BITS)).astype(np.int64)
     first = np.argsort(classes[bucket], kind="stable")[:prefix_size(len(s))]  # s ascends, so equals go by hash
-    ways = salts[bucket[first]].astype(np.int64)
+    ways = np.ones(len(first), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, bucket[first]), len(hot) - 1)
+        ways = np.where(hot[at] == bucket[first], hot_ways[at], 1)
     return s[first], np.where(ways > 1, (me & 0x7FFFFFFF) % np.maximum(ways, 1), 0).astype(np.int32), ways > 1
 
 
@@ -194,7 +212,7 @@ def _entries(boundary: int, sketch, with_prefix_from: int):
     """List entries (kind 0) and subset signatures (kind 1) of every text; equal sets of a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, seen = sketch.value, set()
+        tables, seen = _unpacked(sketch), set()
 
         def out(parts: list) -> pa.RecordBatch:
             kind, token, salt, hot, ids, n, pos = (np.concatenate(x) for x in zip(*parts))
@@ -232,6 +250,7 @@ def _entries(boundary: int, sketch, with_prefix_from: int):
                     parts, held = [], 0
             if parts:
                 yield out(parts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -408,7 +427,7 @@ def _wanted_sets(wanted, shared, sketch):
     the other bitmap holds the one with the least hash (false hits of a bitmap only make needless rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, tokens, tables, seen = wanted.value, shared.value, sketch.value, set()
+        bits, tokens, tables, seen = wanted.value, shared.value, _unpacked(sketch), set()
 
         def hits(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
             return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
@@ -441,27 +460,43 @@ def _wanted_sets(wanted, shared, sketch):
                     got, held = [], 0
             if got:
                 yield out(got)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _links_by_blocks(open_: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """set_id and shingles of the sets whose id may be among ``ids``: sorted out by a bitmap of fixed size before
+    they are shuffled to a join (false hits do not join)."""
+    at = F.shiftrightunsigned("set_id", 64 - BITMAP_BITS).cast("int").alias("at")
+    bits = sets.sparkSession.sparkContext.broadcast(_bitmap(ids.select(at).distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("at").to_numpy()
+            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["set_id", "shingles"])
+
+    return sets.select(at, "set_id", "shingles").mapInArrow(run, "set_id bigint, shingles binary")
+
+
+def _links_by_blocks(open_: DataFrame, sets: DataFrame, parts: int, made: list[str]) -> DataFrame:
     """a, b: links inside blocks of sets that share one of the lists that are still open."""
     pick_ = open_.groupBy("set_id", "n").agg(F.min_by("token", F.xxhash64("token")).alias("token"))
     size = pick_.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where(F.col("m") > 1)
     ways = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     dealt = (pick_.join(size.withColumn("ways", ways), "token")
              .withColumn("block", F.pmod(F.xxhash64("set_id", "token"), "ways")).select("set_id", "token", "block"))
-    return (dealt.join(sets.select("set_id", "shingles"), "set_id").repartition(parts, "token", "block")
+    dealt = written(dealt, "jaccard-dealt", made)
+    return (dealt.join(_only(sets, dealt), "set_id").repartition(parts, "token", "block")
             .sortWithinPartitions("token", "block").mapInPandas(_block_links, "a bigint, b bigint"))
 
 
-def _open_lists(active: DataFrame, label: DataFrame) -> DataFrame:
+def _open_lists(active: DataFrame, label: DataFrame, made: list[str]) -> DataFrame:
     """The members of lists that hold more than one component, with their component."""
     act = (active.join(label, active["set_id"] == label["node"], "left")
            .select("token", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("comp")))
     mixed = act.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return written(act.join(mixed, "token", "left_semi"), "jaccard-open")
+    return written(act.join(mixed, "token", "left_semi"), "jaccard-open", made)
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -473,7 +508,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (XXH64 of the text), n_shingles, component_id, root (of the component; null for empty sets)."""
     spark = docs.sparkSession
     importable(spark)
-    sc = spark.sparkContext
+    sc, made = spark.sparkContext, []
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, doc_id="bigint", text="string")
     meta = written(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(_read, META), "jaccard-texts")
@@ -486,7 +521,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     entries = d.select("text").mapInArrow(_entries(boundary, sketch, with_prefix_from), ENTRY)
     lists = (entries.repartition(parts, "kind", "token", "salt").sortWithinPartitions("kind", "token", "salt", "set_id")
              .mapInArrow(_lists, ENTRY))
-    lists = written(lists, "jaccard-lists")
+    lists = written(lists, "jaccard-lists", made)
+    del entries
+    release(spark)
     small_links = lists.where(F.col("kind") == 1).select(F.col("set_id").alias("a"), F.col("token").alias("b"))
     active = lists.where(F.col("kind") == 0).select("token", "set_id", "n", "pos")
 
@@ -496,26 +533,36 @@ def _classes(docs: DataFrame) -> DataFrame:
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP_BITS).cast("int").alias("at")
     wanted = sc.broadcast(_bitmap(first.join(members, "set_id").select(at)))
     shared = sc.broadcast(_bitmap(active.select(F.shiftrightunsigned("token", 64 - BITMAP_BITS).cast("int").alias("at")).distinct()))
-    sets = written(d.select(at, "text").mapInArrow(_wanted_sets(wanted, shared, sketch), SETS), "jaccard-sets")
+    sets = written(d.select(at, "text").mapInArrow(_wanted_sets(wanted, shared, sketch), SETS), "jaccard-sets", made)
+    for b in (sketch, wanted, shared):
+        b.unpersist()
 
     # links inside blocks of one list of each set, then inside blocks of another one of lists that are still mixed
     by_list = sets.withColumnRenamed("salt", "block").repartition(parts, "token", "block").sortWithinPartitions("token", "block", "set_id")
     label = components(small_links.unionByName(by_list.mapInPandas(_block_links, "a bigint, b bigint")))
-    more = _links_by_blocks(_open_lists(active, label), sets, parts)
-    label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    act = _open_lists(active, label, made)
+    heavy = act.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HEAVY).select("token")
+    more = written(_links_by_blocks(act.join(heavy, "token", "left_semi"), sets, parts, made), "jaccard-links", made)
+    if not more.isEmpty():
+        label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        act = _open_lists(act.drop("comp"), label, made)
 
     # what blocks have left: pairs in one list that the filters allow and that are not yet connected
-    act = _open_lists(active, label)
     x, y = act.select(*[F.col(c).alias(f"{c}_a") for c in act.columns]), act.select(*[F.col(c).alias(f"{c}_b") for c in act.columns])
     need = F.expr(f"({NUM} * (n_a + n_b) + {NUM + DEN - 1}) div {NUM + DEN}")
     can = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= need
     pairs = (x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("comp_a") < F.col("comp_b")) & can)
              .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "comp_a", "comp_b").distinct())
-    of_a = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    of_b = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+    pairs = written(pairs, "jaccard-pairs", made)
+    near = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
+    of_a = near.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    of_b = near.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     more = (pairs.join(of_a, "a").join(of_b, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"), "x", "y")
             .mapInArrow(_verify, "a bigint, b bigint").distinct())
-    upper = components(more).select(F.col("node").alias("up"), F.col("root").alias("top"))
+    upper = components(more)
+    discard(spark, made)  # the components are written
+    release(spark)
+    upper = upper.select(F.col("node").alias("up"), F.col("root").alias("top"))
     label = label.join(upper, label["root"] == upper["up"], "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = upper.join(label, upper["up"] == label["node"], "left_anti").select(F.col("up").alias("node"), F.col("top").alias("root"))
     label = label.unionByName(alone)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -242,5 +243,5 @@ def test_no_sketch_error_changes_classes(spark, monkeypatch):
     want = {r.doc_id: r.component_id for r in jj.similar_classes(docs).collect()}
     size = 1 << jj.SKETCH_BITS
     rng = np.random.default_rng(0)
-    monkeypatch.setattr(jj, "_sketch", lambda meta: (rng.integers(0, 9, size).astype(np.uint8), rng.integers(0, 4, size).astype(np.uint16)))
+    monkeypatch.setattr(jj, "_sketch", lambda meta: (zlib.compress(rng.integers(0, 9, size).astype(np.uint8).tobytes(), 1), np.arange(0, size, 3), rng.integers(2, 5, len(range(0, size, 3)))))
     assert {r.doc_id: r.component_id for r in jj.similar_classes(docs).collect()} == want and len(rows) == len(want)
