@@ -38,9 +38,9 @@ ALPHA = 1.0
 RANK_SHIFT = 10
 SEED = 2024
 #: Lattice nodes of a worker's table before it starts afresh (a single group of texts may need more).
-TABLE_NODES = 4_000_000
-#: Characters of text that are sampled together; a longer text goes alone.
-GROUP = 1 << 20
+TABLE_NODES = 2_000_000
+#: Bytes of text that are sampled together; a longer text goes alone.
+GROUP = 1 << 18
 
 _U = np.uint64
 _UNITS = re.compile(r" *[^ ]+| +")
@@ -253,16 +253,16 @@ def lattice(model_path: str, alpha: float = ALPHA) -> PieceLattice:
     return _lattices[key]
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts (first, end) of at most ``GROUP`` bytes, or one longer text."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(sizes):
         if i > begin and size + n > GROUP:
             yield begin, i
             begin, size = i, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def encode(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -271,19 +271,23 @@ def encode(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lattice(model_path, alpha)
         for b in batches:
-            texts, docids = b.column("text").to_pylist(), b.column("doc_id")
+            docids, column = b.column("doc_id"), b.column("text")
             keys = docids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-            for i, j in _groups(texts):
-                some = [t or "" for t in texts[i:j]]
+            for i, j in _groups(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                texts = column.slice(i, j - i).to_pylist()
+                some = [t or "" for t in texts]
                 ids, at = of.encode(some, keys[i:j], seed)
                 same = [of.decode(ids[a:e].tolist()) == t for t, a, e in zip(some, at[:-1].tolist(), at[1:].tolist())]
-                null = pa.array([t is None for t in texts[i:j]])
+                null = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 if null.true_count:
                     lists = pc.if_else(null, pa.scalar(None, lists.type), lists)
+                del some, ids, texts
                 yield pa.RecordBatch.from_arrays(
                     [docids.slice(i, j - i), lists, pa.array(np.diff(at)), pa.array(same)],
                     names=["doc_id", "ids", "n_pieces", "lossless"])
+        of.clear()  # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     importable(docs.sparkSession)
     return pick(docs, doc_id="bigint", text="string").mapInArrow(

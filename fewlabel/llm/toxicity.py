@@ -44,7 +44,7 @@ LEAST_RATIO = 10.0
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7)
 #: Entries of a worker's table of words; a full table starts afresh.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 150_000
 
 _WORD = re.compile(r"\w+")
 
@@ -149,7 +149,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
             for text, y in zip(text_list(b.column("text")), b.column("y").to_pylist()):
                 for f in {f for w in set(_WORD.findall(text.lower())) for f in word_features(w)}:
                     seen.setdefault(f, [0, 0])[y] += 1
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     yield out()
                     seen.clear()
         if seen:
