@@ -10,6 +10,12 @@ block is the main text.  Where it lies in an ``article`` or ``main`` element, su
 dive snap to that element's edges, so that a short headline or a gap inside the article
 cuts nothing off.
 
+Whether an element is left out is decided when the whole page is read: by its tag or by
+whole class, id and role tokens (also compounds that end in a listed word, as in
+``site-footer``, but not states of the layout, as in ``has-sidebar``).  One that holds most
+of the page's text, or an ``article`` or ``main`` element heavier than all text outside such
+elements, is kept, unless it is hidden or holds reader comments.
+
 Character references are decoded, white space inside a line becomes one blank, empty
 lines go, lines are joined by one newline.
 
@@ -61,89 +67,195 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _WORD = re.compile(r"[a-z]+")
 
 
-def _no_main_text(tag: str, attrs: str, inside: int) -> bool:
-    """Whether an element is no main text; a ``header`` inside an article belongs to it."""
+#: A class token ending in one of the words counts as the word, but not where it names a state of the layout.
+_STATE = frozenset("has no with without is not show hide".split())
+#: Elements whose text is no main text although it may outgrow it, and kinds that never wrap a page.
+_COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+_NEVER_WRAPS = NOT_MAIN - {"form", "fieldset"}
+#: Containers that are parts of the text around them.
+_PARTS = frozenset("address button center details dl figure label ol section ul".split())
+
+_HARD, _SOFT, _READERS, _UNSEEN, _GATE = range(1, 6)
+
+
+def _named(token: str) -> str:
+    """The word of ``NOT_MAIN_WORDS`` that a whole class token stands for, or nothing."""
+    if token in NOT_MAIN_WORDS:
+        return token
+    words = _WORD.findall(token)
+    return words[-1] if words and words[-1] in NOT_MAIN_WORDS and not _STATE.intersection(words) else ""
+
+
+def _no_main_text(tag: str, attrs: str, inside: int) -> int:
+    """Why an element may be no main text (0: it may not); a ``header`` inside an article belongs to it."""
+    if attrs and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attrs):
+        return _UNSEEN
     if tag in NOT_MAIN or tag == "header" and not inside:
-        return True
+        return _HARD
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    return any(NOT_MAIN_WORDS.intersection(_WORD.findall((a or b or c).lower())) for a, b, c in _ATTR.findall(attrs))
+        return 0
+    names = {_named(t) for a, b, c in _ATTR.findall(attrs) for t in (a or b or c).lower().split()} - {""}
+    return 0 if not names else _READERS if names <= _COMMENTS else _SOFT
+
+
+class _Page:
+    """The lines of a page with their containers; what is skipped is decided when all of it is read."""
+
+    def __init__(self, page: str):
+        # per element that may be skipped (0: none): reason, tag, element around it, whether its end tag was met, weight
+        self.why, self.tag, self.up, self.ended, self.weight = [0], [""], [0], [False], [0]
+        # per box (0: the page): tag, box around it, region
+        self.box_tag, self.box_up, self.box_region = [""], [0], [0]
+        self.region_weight, self.region_in = [0], [0]
+        self.raw: list[tuple[list[tuple[str, bool, int]], int, int]] = []
+        self._read(page)
+        self._choose()
+
+    def _read(self, page: str) -> None:
+        buf: list[tuple[str, bool, int]] = []
+        inside = region = inner = box = at = 0
+        link = False
+        stack: list[tuple[str, int, int, int]] = []  # open containers: tag, its skippable element, inner and box around it
+
+        def flush() -> None:
+            if buf:
+                self.raw.append((buf.copy(), region, box))
+                buf.clear()
+
+        def take(a: int, b: int) -> None:
+            if b > a:
+                piece = page[a:b]
+                buf.append((piece, link, inner))
+                if not link:
+                    w = len(piece.strip())
+                    self.weight[inner] += w
+                    self.region_weight[region] += w
+
+        for m in _TOKEN.finditer(page):
+            take(at, m.start())
+            at = m.end()
+            tag = (m[3] or "").lower()
+            if not tag:
+                if m[1] and m[1].lower() in BLOCK:
+                    flush()
+                continue
+            close = bool(m[2])
+            if tag == "a":
+                link = not close
+            elif tag == "br":
+                buf.append((" ", True, inner))
+            if tag in BLOCK:
+                flush()
+                link = False
+            if close:
+                if any(x[0] == tag for x in stack):
+                    while stack:
+                        t, node, inner, box = stack.pop()
+                        if t in ("article", "main"):
+                            inside -= 1
+                            if not inside:
+                                region = 0
+                        if t == tag:
+                            self.ended[node] = True
+                            break
+            elif tag not in VOID and not m[4].endswith("/"):
+                if tag in ("article", "main") and inner and self.why[inner] != _GATE:
+                    # a menu or header that is never closed ends here
+                    gates = {i: self._node(_GATE, "", i) for i in {inner, *(x[2] for x in stack)} if i and self.why[i] != _GATE}
+                    inner = gates[inner]
+                    stack[:] = [(t, node, gates.get(i, i), b) for t, node, i, b in stack]
+                why = _no_main_text(tag, m[4], inside)
+                if tag in CONTAINER or why and tag in BLOCK | {"span"}:
+                    node = self._node(why, tag, inner) if why else 0
+                    stack.append((tag, node, inner, box))
+                    inner = node or inner
+                    if tag in ("article", "main"):
+                        inside += 1
+                        if inside == 1:
+                            self.region_weight.append(0)
+                            self.region_in.append(inner)
+                            region = len(self.region_in) - 1
+                    if tag in CONTAINER and tag not in _PARTS:
+                        self.box_tag.append(tag)
+                        self.box_up.append(box)
+                        self.box_region.append(region)
+                        box = len(self.box_tag) - 1
+        take(at, len(page))
+        flush()
+
+    def _node(self, why: int, tag: str, up: int) -> int:
+        for x, v in ((self.why, why), (self.tag, tag), (self.up, up), (self.ended, False), (self.weight, 0)):
+            x.append(v)
+        return len(self.why) - 1
+
+    def _dropped(self, kept: set[int]) -> list[bool]:
+        """Per element whether its text goes; a menu without end tag goes up to the article in it."""
+        n = len(self.why)
+        open_, rest = [False] * n, [False] * n  # by elements that were never closed; by all others
+        for i in range(1, n):
+            j = self.up[i]
+            open_[i], rest[i] = open_[j], rest[j]
+            if self.why[i] == _GATE:
+                open_[i] = False
+            elif i not in kept:
+                if self.why[i] == _HARD and not self.ended[i]:
+                    open_[i] = True
+                else:
+                    rest[i] = True
+        return [a or b for a, b in zip(open_, rest)]
+
+    def _choose(self) -> None:
+        n, out = len(self.why), self._dropped(set())
+        own, total = self.weight.copy(), self.weight.copy()
+        seen = [True] * n  # neither hidden nor among reader comments
+        best = [0] * n  # the heaviest article or main element inside
+        for r in range(1, len(self.region_in)):
+            best[self.region_in[r]] = max(best[self.region_in[r]], self.region_weight[r])
+        for i in range(1, n):
+            seen[i] = seen[self.up[i]] and self.why[i] not in (_READERS, _UNSEEN)
+        for i in range(n - 1, 0, -1):
+            total[self.up[i]] += total[i]
+            best[self.up[i]] = max(best[self.up[i]], best[i])
+        page = sum(w for w, s in zip(own, seen) if s)
+        left = sum(w for w, o in zip(own, out) if not o)
+        regions = sum(w for w, at in zip(self.region_weight[1:], self.region_in[1:]) if not out[at])
+        for i in range(1, n):
+            if self.why[i] == _GATE:
+                own[self.up[i]] += own[i]
+        kept, alive = set(), [True] * n
+        for i in range(1, n):  # an element comes before those in it
+            w, why = total[i], self.why[i]
+            if why == _GATE:
+                alive[i] = alive[self.up[i]]
+                continue
+            if why == _READERS:
+                keep = not left and 2 * w > total[0]
+            elif why == _SOFT or why == _HARD:
+                wraps = 10 * left <= w if self.tag[i] in _NEVER_WRAPS else 10 * regions < w
+                keep = w > 0 and 2 * w > page and wraps or best[i] > left
+            else:
+                keep = False
+            alive[i] = keep and alive[self.up[i]]
+            if keep:
+                kept.add(i)
+            if alive[i]:
+                left += own[i]
+        self.out = self._dropped(kept)
+
+    def lines(self) -> list[tuple[str, int, int, int]]:
+        """(text, weight, region, box) of every line that is left."""
+        found = []
+        for pieces, region, box in self.raw:
+            stay = [(p, link) for p, link, node in pieces if not self.out[node]]
+            text = " ".join(_html.unescape("".join(p for p, _ in stay)).split())
+            if text:
+                found.append((text, max(0, len(text) - sum(len(p.strip()) for p, link in stay if link)), region, box))
+        return found
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, region) per line; region: the number of the outermost article or main element, 0 outside."""
-    out: list[tuple[str, int, int]] = []
-    buf: list[str] = []
-    linked = inside = region = regions = 0
-    stack: list[tuple[str, bool]] = []  # open containers; whether they are no main text
-    skipped = 0
-    link = 0
-    at = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if buf:
-            text = " ".join(_html.unescape("".join(buf)).split())
-            if text:
-                out.append((text, max(0, len(text) - linked), region))
-            buf.clear()
-        linked = 0
-
-    def take(a: int, b: int) -> None:
-        nonlocal linked
-        if b > a and not skipped:
-            piece = page[a:b]
-            buf.append(piece)
-            if link:
-                linked += len(piece.strip())
-
-    for m in _TOKEN.finditer(page):
-        take(at, m.start())
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1] and m[1].lower() in BLOCK:
-                flush()
-            continue
-        close = bool(m[2])
-        if tag == "a":
-            link = 0 if close else 1
-        elif tag == "br":
-            if not skipped:
-                buf.append(" ")
-        if tag in BLOCK:
-            flush()
-            link = 0
-        if close:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, bad = stack.pop()
-                    skipped -= bad
-                    if t in ("article", "main"):
-                        inside -= 1
-                        if not inside:
-                            region = 0
-                    if t == tag:
-                        break
-        elif tag not in VOID and not m[4].endswith("/"):
-            if tag in ("article", "main") and not any(bad and t not in NOT_MAIN | {"header"} for t, bad in stack):
-                # a menu or header that was never closed ends here
-                stack[:] = [(t, False) for t, _ in stack]
-                skipped = 0
-            bad = _no_main_text(tag, m[4], inside)
-            if tag in CONTAINER or bad and tag in BLOCK | {"span"}:
-                stack.append((tag, bad))
-                skipped += bad
-                if tag in ("article", "main"):
-                    inside += 1
-                    if inside == 1:
-                        regions += 1
-                        region = regions
-    take(at, len(page))
-    flush()
-    return out
+    return [x[:3] for x in _Page(page).lines()]
 
 
 def text_blocks(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:

@@ -91,6 +91,19 @@ def test_main_text_of_small_pages(spark):
     assert len(ht.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").split("\n")) == 20_000
 
 
+def test_layout_classes_around_the_article_lose_nothing():
+    body = "<p>The first sentence of the text.</p><p>And the second one.</p>"
+    want = "The first sentence of the text.\nAnd the second one."
+    for name in ("layout has-sidebar", "no-sidebar", "with-sidebar", "nav-open", "footer-sticky", "search-results", "page-menu", "sidebar"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>", body):
+            assert ht.main_text(f'<div class="{name}">{inner}</div><div class="site-footer">Imprint</div>') == want, (name, inner)
+    assert ht.main_text(f"<form id=f>{body}</form><footer>Imprint</footer>") == want
+    assert ht.main_text(f"<div class=comments><p>{'reader ' * 50}</p></div><article>{body}</article>") == want
+    assert ht.main_text(f"<main>{body}</main><footer>{'legal ' * 50}</footer>") == want
+    assert ht.main_text(f"<div style='display:none'><p>{'unseen ' * 50}</p></div><p>Seen") == "Seen"
+    assert ht.main_text(f"<div class=ad><nav>x<article>card</article></nav>{body}</div>") == want
+
+
 def test_text_blocks_surge_and_dive():
     assert ht.text_blocks([0, 0, 5, 0, 3, 0, 0, 0, 4]) == [(2, 5), (8, 9)]
     assert ht.text_blocks([]) == [] and ht.text_blocks([0, 0]) == []
