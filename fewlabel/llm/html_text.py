@@ -5,10 +5,10 @@ the length of its text outside links and outside elements that are no main text
 their kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 reader comments).  Weights are summed over a sliding window of lines.  A surge point
 is a line where the window sum rises over the threshold from below, the dive point the
-line where it has fallen back; the lines between them form a text block.  The heaviest
-block is the main text.  Where it lies in an ``article`` or ``main`` element, surge and
-dive snap to that element's edges, so that a short headline or a gap inside the article
-cuts nothing off.
+line where it has fallen back; the lines between them form a text block.  The blocks
+that share the container of the main text are joined.  Where an ``article`` or ``main``
+element holds most of them, surge and dive snap to that element's edges, so that a short
+headline or a gap inside the article cuts nothing off.
 
 Whether an element is left out is decided when the whole page is read: by its tag or by
 whole class, id and role tokens (also compounds that end in a listed word, as in
@@ -274,21 +274,48 @@ def text_blocks(weights: list[int], window: int = WINDOW, threshold: int = THRES
     return found
 
 
+def _box_of(page: _Page, weights: list[int], boxes: list[int], lines: range) -> int:
+    """The smallest box that holds most of the weight of some lines."""
+    total = [0] * len(page.box_up)
+    for i in lines:
+        total[boxes[i]] += weights[i]
+    for i in range(len(total) - 1, 0, -1):
+        total[page.box_up[i]] += total[i]
+    return max(i for i, w in enumerate(total) if 2 * w > total[0] or not i)  # such boxes lie in one another
+
+
 def main_text(page: str, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    """The lines of the heaviest text block, snapped to the article or main element that most of it lies in."""
-    lines = lines_of(page)
-    weights = [w for _, w, _ in lines]
+    """The lines of the text blocks in the container of the main text, snapped to the article or main element that holds
+    most of them.
+
+    The container is the smallest one with most of the page's weight; if that is the whole page, the smallest one with
+    most of the heaviest block.
+    """
+    read = _Page(page)
+    lines = read.lines()
+    weights, boxes = [x[1] for x in lines], [x[3] for x in lines]
     blocks = text_blocks(weights, window, threshold)
     if not blocks:  # links only: what an article element holds, if there is one
-        return "\n".join(t for t, _, r in lines if r)
+        return "\n".join(t for t, _, r, _ in lines if r)
     a, b = max(blocks, key=lambda x: (sum(weights[x[0]:x[1]]), -x[0]))
-    by_region: dict[int, int] = {}
-    for _, w, r in lines[a:b]:
-        by_region[r] = by_region.get(r, 0) + w
-    region = max((r for r in by_region if r), key=lambda r: (by_region[r], -r), default=0)
+    box = _box_of(read, weights, boxes, range(len(lines)))
+    if read.box_tag[box] in ("", "html", "body"):
+        box = _box_of(read, weights, boxes, range(a, b))
+    within = [False] * len(read.box_up)
+    for i, up in enumerate(read.box_up):
+        within[i] = i == box or i > 0 and within[up]
+    joined = [x for x in blocks if any(weights[i] and within[boxes[i]] for i in range(*x))] or [(a, b)]
+    a, b = joined[0][0], joined[-1][1]
+    region = read.box_region[box]
+    if not region:
+        by_region: dict[int, int] = {}
+        for _, w, r, _ in lines[a:b]:
+            by_region[r] = by_region.get(r, 0) + w
+        region = max(by_region, key=lambda r: (by_region[r], -r))
+        region = region if 2 * by_region[region] > sum(weights[a:b]) else 0
     if region:
-        return "\n".join(t for t, _, r in lines if r == region)
-    return "\n".join(t for t, _, _ in lines[a:b])
+        return "\n".join(t for t, _, r, _ in lines if r == region)
+    return "\n".join(t for t, _, _, _ in lines[a:b])
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:

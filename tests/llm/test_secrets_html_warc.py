@@ -104,6 +104,21 @@ def test_layout_classes_around_the_article_lose_nothing():
     assert ht.main_text(f"<div class=ad><nav>x<article>card</article></nav>{body}</div>") == want
 
 
+def test_teasers_and_link_lists_cut_nothing_off():
+    one, two = "First part of the text. " * 4, "Second part. " * 6
+    links = "<ul><li><a>one</a><li><a>two</a><li><a>three</a></ul>"
+    want = f"{one.strip()}\none\ntwo\nthree\n{two.strip()}"
+    teaser = "<article><p>Short</p></article>"
+    assert ht.main_text(f"<div><p>{one}</p></div>{teaser}").startswith(one.strip())
+    assert ht.main_text(f"<div><p>{one}</p></div><aside>{teaser}</aside>") == one.strip()
+    for tag in ("body", "div", "main"):
+        assert ht.main_text(f"<{tag}><p>{one}</p>{links}<p>{two}</p></{tag}>") == want
+        assert ht.main_text(f"<{tag}><section><p>{one}</p></section>{links}<section><p>{two}</p></section></{tag}>") == want
+    assert ht.main_text(f"<div><p>{one}</p>{links}<p>{two}</p></div><div>{links}</div><div><p>Imprint</p></div>") == want
+    deep = "<div class=ad>" * 20_000 + "text"
+    assert ht.main_text(deep) == "text"
+
+
 def test_text_blocks_surge_and_dive():
     assert ht.text_blocks([0, 0, 5, 0, 3, 0, 0, 0, 4]) == [(2, 5), (8, 9)]
     assert ht.text_blocks([]) == [] and ht.text_blocks([0, 0]) == []
