@@ -5,13 +5,17 @@ or more characters), ``access`` (``AKIA...`` of 18 or more) and ``hex`` (16 or m
 leftmost, non-overlapping per kind.
 
 Entropy spans: a candidate string is a run of 20 or more key characters.  Inside it,
-every run of one character class (hex digits; base64 characters) of at least the
-class's window length is scanned by a window that moves one character at a time; the
-counts change by one character in and one out, and with them
+every run of 20 or more characters of one class (hex digits; base32; lower- or upper-case
+letters and digits; base64, plain or URL-safe) is scanned by a window that moves one
+character at a time; a run shorter than the class's window is one window, and the least
+entropy falls with the logarithm of the window's length.  The counts change by one
+character in and one out, and with them
 ``S = sum c * log2 c``, so that the window's entropy ``log2 w - S / w`` costs O(1) per
-step.  Windows at or above the class threshold are merged into one span.  Candidates
-that match the allow-list (by default plain words, numbers, UUIDs, paths of words) are
-passed over.
+step.  Windows at or above the class threshold are merged into one span, whatever the
+class.  The thresholds lie about two and a half deviations under the mean of random
+strings of the class's alphabet.  Candidates that match the allow-list (by default plain
+words, numbers, UUIDs, paths of words and numbers) are passed over, and so are runs of
+letters alone in the classes of one case.
 
 Defined results: null and empty texts have no spans; rows are kept one to one
 (repeated rows too); an empty table gives an empty table; extra columns are ignored.
@@ -37,11 +41,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
+#: Least length of a candidate and of a run in it.
+SHORTEST = 20
 #: class name, its characters, window length, least entropy in bits of a window.
-CLASSES = (("hex", r"[0-9a-fA-F]+", 20, 3.0), ("base64", r"[A-Za-z0-9+/]+", 24, 4.0))
+CLASSES = (("hex", r"[0-9a-fA-F]+", 20, 3.0), ("base32", r"[A-Z2-7]+", 24, 3.35), ("base36", r"[a-z0-9]+|[A-Z0-9]+", 24, 3.45),
+           ("base64", r"[A-Za-z0-9+/_-]+", 24, 3.8))
+#: Classes in which letters alone are words.
+ONE_CASE = ("base32", "base36")
 #: Candidates that are no secrets whatever their entropy.
 ALLOW = (
-    r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*",
+    r"[A-Za-z]+", r"[0-9]+", r"([A-Za-z]+|[0-9]+)([_/=+-]+([A-Za-z]+|[0-9]+))*[_/=+-]*",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[-_=+/]+",
 )
 
@@ -77,7 +86,7 @@ def entropy_windows(text: str, window: int, least: float) -> list[tuple[int, int
 
 class Scanner:
     def __init__(self, classes=CLASSES, allow=ALLOW):
-        self.classes = [(re.compile(p), w, e) for _, p, w, e in classes]
+        self.classes = [(re.compile(p), w, e, name in ONE_CASE) for name, p, w, e in classes]
         self.allow = re.compile("|".join(f"(?:{p})" for p in allow)) if allow else None
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
@@ -92,12 +101,20 @@ class Scanner:
         for m in _CANDIDATE.finditer(text):
             if self.allow and self.allow.fullmatch(m[0]):
                 continue
-            got = set()
-            for chars, window, least in self.classes:
+            got: list[tuple[int, int]] = []
+            for chars, window, least, one_case in self.classes:
                 for r in chars.finditer(m[0]):
-                    at = m.start() + r.start()
-                    got |= {(at + a, 3, at + b) for a, b in entropy_windows(r[0], window, least)}
-            found += got
+                    if len(r[0]) >= SHORTEST and not (one_case and r[0].isalpha()):
+                        w = min(window, len(r[0]))
+                        at = m.start() + r.start()
+                        got += [(at + a, at + b) for a, b in entropy_windows(r[0], w, least * math.log2(w) / math.log2(window))]
+            end = -1
+            for a, b in sorted(got):
+                if a > end:
+                    found.append((a, 3, b))
+                elif b > end:
+                    found[-1] = (found[-1][0], 3, b)
+                end = max(end, b)
         return [(KINDS[k], a, b) for a, k, b in sorted(found)]
 
 

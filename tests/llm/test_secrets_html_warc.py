@@ -57,6 +57,23 @@ def test_entropy_windows_equal_brute_force_and_allow_list_holds():
     assert "entropy" in kinds(SECRETS[2][1], allow=()) and sec.entropy_windows("", 20, 3.0) == []
 
 
+def test_random_keys_of_every_alphabet_are_found_and_names_are_not():
+    import random
+    import string
+    r, s = random.Random(11), sec.Scanner()
+    base62 = string.ascii_letters + string.digits
+    lower, upper = string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits
+    for chars, n in ((base62, 20), (base62, 22), (base62, 23), (base62 + "-_", 22), (base62 + "-_", 32), (base62 + "-_", 43), (base62 + "+/", 40),
+                     (lower, 20), (lower, 24), (upper, 24), (string.ascii_uppercase + "234567", 32), (string.ascii_uppercase + "234567", 20)):
+        keys = ["".join(r.choices(chars, k=n)) for _ in range(500)]
+        found = [[(a, b) for k, a, b in s.spans(f"the key {x} here") if k == "entropy"] for x in keys]
+        assert sum(map(bool, found)) >= 470, (chars, n, sum(map(bool, found)))
+        assert sum(b - a for f in found for a, b in f) >= 0.92 * 500 * n, (chars, n)
+    for name in ("some-article-title-2024-01", "2024/01/31/a-day-in-the-park", "internationalization_guide_v2", "aaaaaaaaaaaaaaaaaaaaaaaa1",
+                 "123e4567-e89b-12d3-a456-426614174000"):
+        assert not [x for x in s.spans(name) if x[0] == "entropy"], name
+
+
 def test_query_digests_and_redaction(spark):
     rows = {r.doc_id: r for r in q.QUERIES["op2_secrets"](spark, SF_SMALL).collect()}
     for r in table(spark, SF_SMALL, "documents").collect():
