@@ -268,9 +268,17 @@ def _possible(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted entries -> those with a possible partner (kind 0), and the links of small sets (kind 1: set_id, token = partner)."""
+    """Sorted entries -> those with a possible partner (kind 0), and the links of small sets (kind 1: set_id, token = partner).
+
+    Of a list too long to hold all rows pass; it is remembered until its end, so that no part of it is taken for a list.
+    """
     names = ["kind", "token", "salt", "hot", "set_id", "n", "pos"]
     held: pa.RecordBatch | None = None
+    begun: tuple | None = None  # the list whose rows already went out, in part
+    root = latest = 0  # its first set and the last one that went out
+
+    def list_at(b: pa.RecordBatch, i: int) -> tuple:
+        return tuple(b.column(k)[i].as_py() for k in ("kind", "token", "salt"))
 
     def bounds(b: pa.RecordBatch) -> np.ndarray:
         cols = [b.column(k).to_numpy() for k in ("kind", "token", "salt")]
@@ -287,7 +295,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
         return b if new.all() else b.filter(pa.array(new))
 
-    def done(b: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+    def done(b: pa.RecordBatch, at: np.ndarray, goes_on: bool = False) -> pa.RecordBatch:
+        """``goes_on``: the first list is the rest of the one begun."""
         kind, hot = b.column("kind").to_numpy(), b.column("hot").to_numpy(zero_copy_only=False)
         n, pos, ids = b.column("n").to_numpy(), b.column("pos").to_numpy(), b.column("set_id").to_numpy()
         token = b.column("token").to_numpy().copy()
@@ -304,6 +313,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep[x:y] = _possible(n[x:y], pos[x:y])
         for x in at[:-1][size == 1].tolist():
             keep[x] = hot[x]
+        if goes_on:
+            keep[:at[1]] = True
+            if kind[0] == 1:
+                token[:at[1]] = root
         arrays = [b.column(k) for k in names]
         arrays[1] = pa.array(token)
         return pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
@@ -314,14 +327,25 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = b.select(names)
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            held = None
         b = once(b)
+        goes_on = begun is not None and list_at(b, 0) == begun
+        if goes_on and b.column("set_id")[0].as_py() == latest:  # a copy of what went out
+            b = b.slice(1)
+            if not b.num_rows:
+                continue
+            goes_on = list_at(b, 0) == begun
         at = bounds(b)
         last = int(at[-2])
-        if b.num_rows - last > 50 * LIST_ROWS:  # a list too long to hold: its rows pass unfiltered, as those of a hot one
-            last = b.num_rows
+        if last or not goes_on:
+            begun = None
+        if begun or b.num_rows - last > 50 * LIST_ROWS:  # a list too long to hold: its rows pass unfiltered, as those of a hot one
+            last, latest = b.num_rows, b.column("set_id")[b.num_rows - 1].as_py()
         held = b.slice(last) if last < b.num_rows else None
         if last:
-            yield done(b.slice(0, last), np.append(at[at < last], last))
+            yield done(b.slice(0, last), np.append(at[at < last], last), goes_on)
+        if held is None and begun is None:
+            begun, root = list_at(b, b.num_rows - 1), b.column("set_id")[int(at[-2])].as_py()
     if held is not None and held.num_rows:
         yield done(held, bounds(held))
 

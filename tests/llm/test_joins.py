@@ -63,6 +63,29 @@ def test_classes_with_one_large_group_and_a_common_passage(spark, monkeypatch):
     check_classes(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])
 
 
+@pytest.mark.parametrize("step", [1, 7, 10, 60, 500])
+@pytest.mark.parametrize("size", [51, 61, 121, 130])
+def test_lists_longer_than_the_buffer_lose_no_member(monkeypatch, size, step):
+    """Long lists of both kinds between short ones, with copies, in batches of any size; a list's rest has no partners in itself."""
+    monkeypatch.setattr(jj, "LIST_ROWS", 1)
+    rows = []
+    for kind in (0, 1):
+        for token, m in ((3, 1), (5, size), (6, 1), (8, size), (9, 2)):
+            for i in range(m):
+                n = 10 if kind or m == 2 or i % 2 == 0 else 1000 * 2 ** (i // 2 % 5)
+                rows += [(kind, token, 0, False, 100 * token + i, n, 0)] * (1 + (i % 5 == 0))
+    names = ["kind", "token", "salt", "hot", "set_id", "n", "pos"]
+    types = [jj.pa.int32(), jj.pa.int64(), jj.pa.int32(), jj.pa.bool_(), jj.pa.int64(), jj.pa.int32(), jj.pa.int32()]
+    batches = [jj.pa.RecordBatch.from_arrays([jj.pa.array(c, t) for c, t in zip(zip(*rows[i:i + step]), types)], names=names)
+               for i in range(0, len(rows), step)]
+    got = [tuple(r.values()) for b in jj._lists(iter(batches)) for r in b.to_pylist()]
+    entries = [(r[1], r[4]) for r in got if r[0] == 0]
+    links = [(r[1], r[4]) for r in got if r[0] == 1]
+    long = {(t, 100 * t + i) for t in (5, 8) for i in range(size)}
+    assert set(entries) == long | {(9, 900), (9, 901)} and len(entries) == len(set(entries))
+    assert {x for x in links if x[0] != x[1]} == {(100 * t, s) for t, s in long if s != 100 * t} | {(900, 901)}
+
+
 def test_classes_of_a_table_equal_brute_force(spark):
     docs = table(spark, SF_SMALL, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
