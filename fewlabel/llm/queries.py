@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fewlabel.llm import decontaminate as dc
+from fewlabel.llm import exact_dedup as ed
 from fewlabel.llm import html_text as ht
 from fewlabel.llm import jaccard_join as jj
 from fewlabel.llm import learned_ann as ann
@@ -95,6 +96,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
                         warc.header_text(F.col("headers")).alias("headers"), "digest", "length")
 
 
+@query("op11_exact_dedup", ed.equal_texts_sql())
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ed.equal_texts(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
