@@ -38,6 +38,8 @@ ROUTE_BITS = 24
 SHARD_ROWS = 1 << 18
 #: Fingerprints that a task holds before it packs them.
 HELD = 1 << 21
+#: Groups of more than this part of all rows reach their rows by a broadcast; there are fewer of them than this.
+LARGE_GROUPS = 4_096
 
 
 def _fingerprint(text: Column, bits: int) -> Column:
@@ -140,7 +142,8 @@ def equal_texts(docs: DataFrame, bits: int = BITS) -> DataFrame:
     spark = docs.sparkSession
     texts = _texts(docs, bits)
     slim = written(texts.select("doc_id", "fp", F.sha2(F.col("text"), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
-    shard_bits = min(bits - 2, max(3, (slim.count() // SHARD_ROWS).bit_length()))
+    n = slim.count()
+    shard_bits = min(bits - 2, max(3, (n // SHARD_ROWS).bit_length()))
     repeated = written(repeated_fingerprints(filters(slim, bits, shard_bits)), "dedup-repeated")
     route = written(_route(repeated), "dedup-route")
 
@@ -152,8 +155,11 @@ def equal_texts(docs: DataFrame, bits: int = BITS) -> DataFrame:
     rows = rows.withColumn("_hit", hit).drop("_word", "_mask")
     alone = rows.where(~F.col("_hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     routed = rows.where("_hit").drop("_hit")
-    one = _top(routed, "fp").join(checked.where("texts = 1").select("fp"), "fp")
-    out = alone.unionByName(_stays(routed.join(one, "fp")))
+    one = written(_top(routed, "fp").join(checked.where("texts = 1").select("fp"), "fp"), "dedup-groups")
+    large = F.broadcast(one.where(F.col("size") > n // LARGE_GROUPS))  # fewer than LARGE_GROUPS rows
+    small = one.where(F.col("size") <= n // LARGE_GROUPS)
+    out = alone.unionByName(_stays(routed.join(large, "fp"))) \
+               .unionByName(_stays(routed.join(large.select("fp"), "fp", "left_anti").join(small, "fp")))
     shared = checked.where("texts > 1").select("fp")
     if shared.isEmpty():
         return out
