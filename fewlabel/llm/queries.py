@@ -16,7 +16,9 @@ from fewlabel.llm import jaccard_join as jj
 from fewlabel.llm import learned_ann as ann
 from fewlabel.llm import piece_sampling as ps
 from fewlabel.llm import quality as qu
+from fewlabel.llm import role_repair as rr
 from fewlabel.llm import secrets as sec
+from fewlabel.llm import spelling as sp
 from fewlabel.llm import token_counts as tc
 from fewlabel.llm import toxicity as tox
 from fewlabel.llm import warc_revisit as warc
@@ -101,6 +103,16 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.equal_texts(table(spark, sf_dir, "documents"))
 
 
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_role_repair")
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rr.repaired(rr.damaged(table(spark, sf_dir, "conversations")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
