@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.functions.keys import hash_key
-from fewlabel.operators.ranks import exact_rank, quantile_bucket
+from fewlabel.operators.ranks import exact_rank, range_rank
 
 
 def quotas(df: DataFrame, n: int, balance: bool, label_col: str = "annotation") -> dict:
@@ -38,11 +38,9 @@ def label_budget(df: DataFrame, n: int, balance: bool = True, shuffle: bool = Fa
     before all values); rows with a NULL label form a class of their own."""
     q = quotas(df, n, balance, label_col)
     if shuffle:
-        keyed, order, bucket = df.withColumn("_key", hash_key(seed, id_col)), ["_key", id_col], None
+        ranked = exact_rank(df.withColumn("_key", hash_key(seed, id_col)), ["_key", id_col], partition_by=[label_col], name="_rank")
     else:
-        keyed, order = df, [ord_col, id_col]
-        bucket = quantile_bucket(df, order)
-    ranked = exact_rank(keyed, order, partition_by=[label_col], bucket=bucket, name="_rank")
+        ranked = range_rank(df, [ord_col, id_col], partition_by=[label_col], name="_rank")
     limit = F.lit(0)
     for c, k in q.items():  # K classes
         limit = F.when(F.col(label_col).eqNullSafe(F.lit(c)), F.lit(k)).otherwise(limit)

@@ -15,8 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.operators.ranks import exact_rank, quantile_bucket
-from fewlabel.session import checkpoint_dir
+from fewlabel.operators.ranks import range_rank
 
 # Special tokens and their ids.
 PAD, UNK, CLS, SEP, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
@@ -37,18 +36,16 @@ def vocabulary(df: DataFrame, text_cols, pattern: str = WORD_PATTERN, max_size:
     """``(token, token_id, n)``: all tokens by count desc, token asc, with ids after the special
     ids; only the ``max_size`` most frequent ones if that is given.
 
-    Counting is a partial aggregate; the counts are checkpointed (they are read three times)
-    and numbered by the exact bucketed rank, so no task sees the whole vocabulary."""
+    Counting is a partial aggregate; the counts are dealt by ranges, written once and numbered
+    by their places there, so no task sees the whole vocabulary."""
     if isinstance(text_cols, str):
         text_cols = [text_cols]
     toks = None
     for c in text_cols:
         t = df.select(F.explode(tokenize(c, pattern)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    checkpoint_dir(df.sparkSession)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    keyed = counts.withColumn("_neg", -F.col("n"))
-    ranked = exact_rank(keyed, ["_neg", "token"], bucket=quantile_bucket(keyed, ["_neg", "token"]), name="_rank")
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = range_rank(counts.withColumn("_neg", -F.col("n")), ["_neg", "token"], name="_rank")
     if max_size is not None:
         ranked = ranked.where(F.col("_rank") <= F.lit(int(max_size)))
     return ranked.select("token", (F.col("_rank") + len(SPECIAL_IDS) - 1).cast("bigint").alias("token_id"), "n")

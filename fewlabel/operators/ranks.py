@@ -3,11 +3,12 @@
 ``row_number() over (order by k)`` with no partition runs in one task, and a
 per-class window has only K partitions, one of which may hold a third of the
 rows.  ``exact_rank`` instead splits every group into buckets that are monotone
-in the order key (hash prefix, or sampled quantiles), counts rows per bucket (a table
+in the order key (a prefix of its hash), counts rows per bucket (a table
 of groups x buckets rows, independent of the data size), turns the counts into
 offsets with a running sum, and numbers rows inside each (group, bucket).  The
 result equals the plain window, but the heavy window work is spread over
-``groups x buckets`` partitions.
+``groups x buckets`` partitions.  ``range_rank`` does it for orders other than a hash: the
+buckets are range partitions, written once, and a row's place in its range is its number there.
 
 ``top_n`` is for small per-group limits: ``row_number() <= n`` with a literal
 ``n`` makes Catalyst insert ``WindowGroupLimit`` before the shuffle, so each
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fewlabel.functions.keys import hash_bucket
+from fewlabel.session import stored
 
 
 def _cols(cs) -> list[Column]:
@@ -73,25 +75,37 @@ def exact_rank(df: DataFrame, order_by: Sequence, partition_by: Sequence | None
             .drop("_rk_b", "_rk_off"))
 
 
-def quantile_bucket(df: DataFrame, order_by: Sequence, n_buckets: int = 128, sample: int = 8192) -> Column:
-    """Monotone bucket of the rows in ``order_by`` order, about equally full.
+def range_bucket(df: DataFrame, order_by: Sequence, name: str, n: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of the order key, sorted and written once, with ``name``: the number of its
+    range in the upper bits, monotone in the key, and the row's place in the range in the lower 33.
 
-    The bounds are quantiles of a bounded sample (the rows with the smallest hash),
-    compared as whole order keys, so that ties in the first column are split by the
-    next ones and an extreme value shifts no bound.  Nulls sort first.
-    """
+    Whole keys are compared, so a hot value of the first column is split by the next ones and an
+    extreme value shifts no bound.  Nulls sort first."""
     cols = _cols(order_by)
-    key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
-    rows = df.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    cuts = (rows.select(F.sort_array(F.collect_list("_k")).alias("k"))
-            .select(F.expr(f"array_distinct(transform(sequence(1, {n_buckets - 1}), i -> k[cast(i * size(k) div {n_buckets} as int)]))").alias("k"))
-            .first()["k"])
-    kind = rows.schema["_k"].dataType
-    cuts = [c for c in cuts if c is not None] if cuts else []
-    if not cuts:
-        return F.lit(0).cast("bigint")
-    bounds = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields)]) for c in cuts])
-    return F.size(F.filter(bounds, lambda b: b <= key)).cast("bigint")
+    dealt = df.repartitionByRange(n, *cols) if n else df.repartitionByRange(*cols)
+    return stored(dealt.sortWithinPartitions(*cols).withColumn(name, F.monotonically_increasing_id()), "ranges")
+
+
+def range_rank(df: DataFrame, order_by: Sequence, partition_by: Sequence | None = None, name: str = "rank",
+               n: int | None = None) -> DataFrame:
+    """Add ``name`` = row_number() over (partition by P order by O), 1-based, bigint, for any order.
+
+    Rows are dealt by ranges of (P, O) and written in order; a row's rank is its place in the range plus
+    the counts of the ranges before, a table of groups + ranges rows.  There is no window over the rows."""
+    parts = _names(partition_by)
+    at = range_bucket(df, [*parts, *_cols(order_by)], "_rk_at", n).withColumn("_rk_b", F.shiftright("_rk_at", 33))
+    counts = at.groupBy(*parts, "_rk_b").agg(F.count(F.lit(1)).alias("_rk_n"), F.min("_rk_at").alias("_rk_first"))
+    before = Window.partitionBy(*parts).orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*parts, "_rk_b"]
+    offsets = counts.select(*[F.col(k).alias(f"_rk_k{i}") for i, k in enumerate(keys)], "_rk_first",
+                            F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_off"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & at[k].eqNullSafe(F.col(f"_rk_k{i}"))
+    if not parts:
+        offsets = F.broadcast(offsets)  # a row per range
+    rank = (F.col("_rk_off") + F.col("_rk_at") - F.col("_rk_first") + 1).cast("bigint")
+    return at.join(offsets, same).withColumn(name, rank).drop("_rk_at", "_rk_b", "_rk_off", "_rk_first", *[f"_rk_k{i}" for i in range(len(keys))])
 
 
 def top_n(df: DataFrame, order_by: Sequence, n: int, partition_by: Sequence | None = None,

@@ -24,9 +24,21 @@ def test_exact_rank_equals_plain_window_and_ignores_partitioning(spark):
 
 def test_exact_rank_global_by_value_range(spark):
     df = spark.range(0, 500).select((F.col("id") * 7 % 101).alias("v"), F.col("id"))
-    got = ranks.exact_rank(df, ["v", "id"], bucket=ranks.quantile_bucket(df, ["v", "id"], 16), name="r")
-    rows = sorted((r.v, r.id, r.r) for r in got.collect())
-    assert [r[2] for r in rows] == list(range(1, 501))
+    for n in (None, 1, 16):
+        got = ranks.range_rank(df, ["v", "id"], name="r", n=n)
+        rows = sorted((r.v, r.id, r.r) for r in got.collect())
+        assert [r[2] for r in rows] == list(range(1, 501))
+
+
+def test_range_rank_in_groups_with_nulls(spark):
+    from pyspark.sql import Window
+    rows = [(None if i % 4 == 3 else "ab"[i % 2], None if i % 5 == 0 else i * 7 % 11, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    got = ranks.range_rank(df, ["v", "id"], ["g"], "r", 7)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert {tuple(r) for r in got.select("g", "v", "id", "r").collect()} == {tuple(r) for r in want.collect()}
+    assert ranks.range_rank(df.where("id < 0"), ["v", "id"], ["g"], "r").count() == 0
 
 
 def test_carve_splits_exact_disjoint_and_conserving(spark):
@@ -69,9 +81,9 @@ def test_fraction_split_cuts_at_exact_fractions(spark, n, parts):
 
 def test_buckets_stay_even_with_an_extreme_value_and_a_hot_one(spark):
     df = spark.range(4000).select(F.when(F.col("id") == 7, 10 ** 9).when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("v"), F.col("id").cast("string").alias("id"))
-    b = df.groupBy(ranks.quantile_bucket(df, ["v", "id"], 32)).count().toPandas()["count"]
+    b = ranks.range_bucket(df, ["v", "id"], "b", 32).groupBy(F.shiftright("b", 33)).count().toPandas()["count"]
     assert b.max() < 3 * 4000 / 32
-    got = ranks.exact_rank(df, ["v", "id"], bucket=ranks.quantile_bucket(df, ["v", "id"], 32), name="r")
+    got = ranks.range_rank(df, ["v", "id"], name="r", n=32)
     rows = sorted((r.v, r.id, r.r) for r in got.collect())
     assert [r[2] for r in rows] == list(range(1, 4001))
 
