@@ -38,7 +38,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 50, block_rows: int = 8192)
     v = v.withColumn("own", F.pmod(F.xxhash64("word"), F.lit(n_blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     queries = v.select("word", "vector", F.col("own").alias("a"), other.alias("b"))
-    cands = v.select("word", "vector", F.col("own").alias("b"), other.alias("a"))
+    cands = v.select(F.col("word").alias("word"), F.col("vector").alias("vector"), F.col("own").alias("b"), other.alias("a"))
 
     def score(q, c):
         import numpy as np

@@ -2,9 +2,10 @@
 
 * thesaurus: all words, put in a seeded hash order; a word's
   synonyms are the next three words of that order (scores 3, 2, 1);
-* bilingual lexicons: English words and pivot-language words, both in hash
-  order; English rank ``r`` translates to pivot ranks ``r, r+1, r+2`` (mod N)
-  with p = 0.5 / 0.3 / 0.2, and back with the mirrored table.
+* bilingual lexicons: all English words and all words of the pivot language, each in hash
+  order; English rank ``r`` translates to pivot ranks ``r, r+1, r+2`` (mod the number of pivot
+  words) with p = 0.5 / 0.3 / 0.2, and pivot rank ``q`` back to ``q, q-1, q-2`` (mod the number of
+  English words), so every word of both sides has partners.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from fewlabel.operators import features as FT
 from fewlabel.operators.augment import candidates as C
-from fewlabel.operators.ranks import exact_rank
+from fewlabel.operators.ranks import range_rank
 from fewlabel.plans.fixtures import table
 
-# pivot language used for each model pair of the back-translation grid
-PIVOTS = {"transformer.wmt19.en-de": "de", "transformer.wmt19.en-ru": "fr"}
+# pivot languages of each model pair of the back-translation grid (the texts have no Russian)
+PIVOTS = {"transformer.wmt19.en-de": ["de"], "transformer.wmt19.en-ru": ["es", "fr"]}
 LEX_P = [0.5, 0.3, 0.2]
 
 
@@ -27,10 +28,10 @@ def _tok_sql(col: str) -> str:
 
 
 def _ranked_words(docs: DataFrame, seed: str) -> DataFrame:
-    """``(word, r)``: all words of the texts, numbered from 0 in a seeded hash order (exact bucketed rank)."""
-    v = FT.vocabulary(docs, ["text"]).select(F.col("token").alias("word"))
+    """``(word, r)``: all words of the texts, numbered from 0 in a seeded hash order."""
+    v = docs.select(F.explode(FT.tokenize("text")).alias("word")).distinct()
     v = v.withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col("word"))))
-    return exact_rank(v, ["_h", "word"], name="r").select("word", (F.col("r") - 1).alias("r"))
+    return range_rank(v, ["_h", "word"], name="r").select("word", (F.col("r") - 1).alias("r"))
 
 
 def _ranked_words_sql(where: str, seed: str) -> str:
@@ -62,22 +63,19 @@ thes as (select word, list(candidate order by score desc, candidate) as cands fr
 def lexicons(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """``(forward, backward)`` with columns ``(model, src, tgt, p)``."""
     docs = table(spark, sf, "documents")
-    en0 = _ranked_words(docs.where("lang = 'en'"), "en")
-    n_en = en0.count()
-    fw, bw = None, None
-    for model, lang in PIVOTS.items():
-        pv0 = _ranked_words(docs.where(F.col("lang") == lang), lang)
-        m = min(n_en, pv0.count())  # the words of the shorter list have a partner
-        en, pv = (x.where(F.col("r") < m).withColumn("m", F.lit(max(m, 1))) for x in (en0, pv0))
-        d = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(p).alias("p")) for i, p in enumerate(LEX_P)]))
-        e = en.select("word", "r", "m", d.alias("x")).select("word", "r", "m", "x.d", "x.p")
-        f = e.withColumn("key", (F.col("r") + F.col("d")) % F.col("m")).join(
-            pv.select(F.col("word").alias("tgt"), F.col("r").alias("key")), "key").select(
-            F.lit(model).alias("model"), F.col("word").alias("src"), "tgt", "p")
-        q = pv.select("word", "r", "m", d.alias("x")).select("word", "r", "m", "x.d", "x.p")
-        b = q.withColumn("key", (F.col("r") - F.col("d") + F.col("m")) % F.col("m")).join(
-            en.select(F.col("word").alias("tgt"), F.col("r").alias("key")), "key").select(
+    en = _ranked_words(docs.where("lang = 'en'"), "en")
+    d = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(p).alias("p")) for i, p in enumerate(LEX_P)])).alias("x")
+
+    def linked(src: DataFrame, tgt: DataFrame, model: str, sign: int) -> DataFrame:
+        n = F.lit(max(tgt.count(), 1))
+        s = src.select("word", "r", d).select("word", F.pmod(F.col("r") + sign * F.col("x.d"), n).alias("key"), F.col("x.p").alias("p"))
+        return s.join(tgt.select(F.col("word").alias("tgt"), F.col("r").alias("key")), "key").select(
             F.lit(model).alias("model"), F.col("word").alias("src"), "tgt", "p")
+
+    fw, bw = None, None
+    for model, langs in PIVOTS.items():
+        pivot = _ranked_words(docs.where(F.col("lang").isin(langs)), langs[-1])
+        f, b = linked(en, pivot, model, 1), linked(pivot, en, model, -1)
         fw = f if fw is None else fw.unionByName(f)
         bw = b if bw is None else bw.unionByName(b)
     return fw, bw
@@ -87,15 +85,15 @@ def lexicon_sql() -> str:
     parts = [f"en as {_ranked_words_sql('where lang = \'en\'', 'en')}"]
     fws, bws = [], []
     pvals = ", ".join(f"({i}, {p})" for i, p in enumerate(LEX_P))
-    for i, (model, lang) in enumerate(PIVOTS.items()):
-        parts.append(f"pv{i} as {_ranked_words_sql('where lang = ' + repr(lang), lang)}")
-        parts.append(f"n{i} as (select least((select count(*) from en), (select count(*) from pv{i})) as n)")
+    for i, (model, langs) in enumerate(PIVOTS.items()):
+        among = ", ".join(map(repr, langs))
+        parts.append(f"pv{i} as {_ranked_words_sql(f'where lang in ({among})', langs[-1])}")
         fws.append(f"""select '{model}' as model, a.word as src, b.word as tgt, cast(dd.p as double) as p
-  from en a, (values {pvals}) dd(d, p), pv{i} b, n{i}
- where a.r < n{i}.n and b.r = (a.r + dd.d) % n{i}.n""")
+  from en a, (values {pvals}) dd(d, p), pv{i} b
+ where b.r = (a.r + dd.d) % (select count(*) from pv{i})""")
         bws.append(f"""select '{model}' as model, a.word as src, b.word as tgt, cast(dd.p as double) as p
-  from pv{i} a, (values {pvals}) dd(d, p), en b, n{i}
- where a.r < n{i}.n and b.r = (a.r - dd.d + n{i}.n) % n{i}.n""")
+  from pv{i} a, (values {pvals}) dd(d, p), en b
+ where b.r = (a.r - dd.d + (select count(*) from en)) % (select count(*) from en)""")
     parts.append("fwd as (" + "\nunion all\n".join(fws) + ")")
     parts.append("bwd as (" + "\nunion all\n".join(bws) + ")")
     return ",\n".join(parts)

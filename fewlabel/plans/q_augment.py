@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from fewlabel.operators.augment import augmentors as A
 from fewlabel.operators.augment import candidates as C
+from fewlabel.operators.augment import neighbour_graph as NG
+from fewlabel.operators.augment import offline
 from fewlabel.operators.augment import plan as P
+from fewlabel.operators.augment import presets
+from fewlabel.operators.augment import vectors as V
 from fewlabel.plans import fixtures_aug as FA
 from fewlabel.plans.fixtures import EX_SQL, examples, table
 from fewlabel.plans.registry import query
@@ -15,6 +19,20 @@ SEED = 42
 SPECS = {s.name: s for s in P.DEFAULT_SPECS}
 CTX_K = 50
 NEXT_STEPS = 10
+TOP_K = 50  # candidates per word, as the augmentation grid asks for
+
+
+def neighbours(spark, sf):
+    """Neighbour lists of all words by their count vectors."""
+    return NG.neighbour_graph(V.count_vectors(table(spark, sf, "documents"), size=32, min_count=5), k=TOP_K, seed=SEED)
+
+
+def resources(spark, sf) -> offline.Resources:
+    docs = table(spark, sf, "documents")
+    return offline.Resources(
+        neighbours=lambda: C.ranked(neighbours(spark, sf), ["word"], TOP_K), thesaurus=lambda: FA.thesaurus(spark, sf),
+        contexts=lambda: C.context_candidates(docs, CTX_K), lexicons=lambda: FA.lexicons(spark, sf),
+        successors=lambda: C.successors(docs, k=50, top_p=0.9))
 
 
 def _tok_sql(col: str) -> str:
@@ -101,17 +119,19 @@ def q_context_candidates(spark, sf):
 
 
 @query("pivot_paraphrases", f"""with {FA.lexicon_sql()},
-f as (select * from fwd where model = 'transformer.wmt19.en-de'
-      qualify row_number() over (partition by src order by p desc, tgt) <= 3),
-b as (select * from bwd where model = 'transformer.wmt19.en-de'
-      qualify row_number() over (partition by src order by p desc, tgt) <= 3)
-select f.src as word, b.tgt as candidate, round(sum(f.p * b.p), 6) as score
-  from f join b on f.tgt = b.src group by all""")
+f as (select * from fwd qualify row_number() over (partition by model, src order by p desc, tgt) <= 3),
+b as (select * from bwd qualify row_number() over (partition by model, src order by p desc, tgt) <= 3)
+select f.model, f.src as word, b.tgt as candidate, round(sum(f.p * b.p), 6) as score
+  from f join b on f.model = b.model and f.tgt = b.src group by all""")
 def q_pivot_paraphrases(spark, sf):
+    """Both model pairs, over all words."""
     fw, bw = FA.lexicons(spark, sf)
-    m = "transformer.wmt19.en-de"
-    pp = C.pivot_paraphrases(fw.where(F.col("model") == m), bw.where(F.col("model") == m), 3, 3)
-    return pp.select("word", "candidate", F.round("score", 6).alias("score"))
+    out = None
+    for m in FA.PIVOTS:
+        pp = C.pivot_paraphrases(fw.where(F.col("model") == m), bw.where(F.col("model") == m), 3, 3)
+        pp = pp.select(F.lit(m).alias("model"), "word", "candidate", F.round("score", 6).alias("score"))
+        out = pp if out is None else out.unionByName(pp)
+    return out
 
 
 # ---------------------------------------------------------------- augmentors
@@ -175,39 +195,54 @@ def q_aug_summary(spark, sf):
     return A.aug_summary(examples(spark, sf), SPECS["BatchAbstSummAug"])
 
 
-@query("aug_next_sentence")
+SUCC_SQL = f"""{BIGRAM_SQL},
+sp as (select word, candidate, score / sum(score) over (partition by word) as p,
+              row_number() over (partition by word order by score desc, candidate) as rank from bc),
+sl as (select word, list(candidate order by rank) as cs, list(p order by rank) as ps from sp where rank <= 50 group by word),
+sm as (select *, list_transform(range(1, len(ps) + 1), lambda i: list_reduce(ps[1:i], lambda x, y: x + y)) as sums from sl),
+succ as (select word, cs[1:k] as cands, sums[1:k] as cum
+           from (select *, least(len(cs), 1 + len(list_filter(sums, lambda c: c < 0.9::double))) as k from sm) x)"""
+
+
+@query("aug_next_sentence", f"""with recursive ex as {EX_SQL}, {SUCC_SQL},
+st as (select id, pv.aug_name, cast(pv.n as bigint) as n, pv.params, sentence, {_tok_sql('sentence')}[-1] as cur
+         from ex join {_plan_values(SPECS['ContextualWordEmbsForSentenceAug'])}
+           on pv.side = case when annotation = 'UNL' then 'unlabelled' else 'labelled' end),
+wk as (select id, n, params, 0 as step, cur, cast([] as varchar[]) as gen from st
+       union all
+       select w.id, w.n, w.params, step + 1, s.cands[least(1 + len(list_filter(s.cum, lambda c: c <= u.u * s.cum[-1])), len(s.cands))],
+              case when s.word is null then gen else list_append(gen,
+                s.cands[least(1 + len(list_filter(s.cum, lambda c: c <= u.u * s.cum[-1])), len(s.cands))]) end
+         from wk w left join succ s on s.word = w.cur,
+              lateral (select ('0x' || substr(md5(concat_ws(':', '42', w.id, w.n, w.params, w.step)), 1, 8))::bigint / 4294967296.0 as u) u
+        where step < {NEXT_STEPS})
+select st.aug_name, st.n, st.params, st.id,
+       case when len(gen) > 0 then st.sentence || ' ' || array_to_string(gen, ' ') else st.sentence end as sentence
+  from st join wk on wk.id = st.id and wk.n = st.n and wk.params = st.params and wk.step = {NEXT_STEPS}""")
 def q_aug_next_sentence(spark, sf):
     succ = C.successors(table(spark, sf, "documents"), k=50, top_p=0.9)
     return A.aug_next_sentence(examples(spark, sf), succ, SPECS["ContextualWordEmbsForSentenceAug"],
                                steps=NEXT_STEPS, seed=SEED)
 
 
-@query("augment_sometimes")
-def q_augment_sometimes(spark, sf):
-    """Strong random pipeline (synonyms, next sentence, summary), p = 0.3,
-    over one row per (id, repeat) for the unlabelled side's two repeats."""
-    ex = examples(spark, sf)
-    rows = ex.select("id", "sentence", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
-    thes = FA.thesaurus(spark, sf)
-    succ = C.successors(table(spark, sf, "documents"), k=50, top_p=0.9)
+def sometimes(spark, sf, preset: str):
+    """A random pipeline over one row per (id, repeat) for the unlabelled side's two repeats."""
+    rows = examples(spark, sf).select("id", "sentence", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    steps, p = presets.random_pipeline(preset, resources(spark, sf), SEED)
+    out = A.augment_sometimes(rows, steps, p=p, seed=SEED)
+    return out.select("id", "n", "sentence", F.array_join("applied", ",").alias("applied"))
 
-    def synonyms(df):
-        return A.substitute_rows(df, [(thes, ["word"])], aug_p=0.1, seed=SEED)
 
-    def next_words(df):
-        return A.next_sentence(df.withColumn("params", F.lit("")), succ, NEXT_STEPS, SEED,
-                               variant_cols=("n",)).select("id", "n", "sentence")
+@query("augment_sometimes")
+def q_augment_sometimes(spark, sf):
+    """The strong random pipeline: embedding neighbours, synonyms, next sentence, summary, each for 0.3 of the rows."""
+    return sometimes(spark, sf, "strong")
 
-    def summary(df):
-        s = A.summarize(df.withColumn("_k", F.concat_ws(":", "id", F.col("n").cast("string"))), [0.8],
-                        id_col="_k", text_col="sentence")
-        back = df.withColumn("_k", F.concat_ws(":", "id", F.col("n").cast("string"))).select("_k", "id", "n")
-        return back.join(s, "_k").select("id", "n", F.col("summary").alias("sentence"))
 
-    steps = [A.Step("SynonymAug", synonyms), A.Step("ContextualWordEmbsForSentenceAug", next_words),
-             A.Step("AbstSummAug", summary)]
-    out = A.augment_sometimes(rows, steps, p=0.3, seed=SEED)
-    return out.select("id", "n", "sentence", F.array_join("applied", ",").alias("applied"))
+@query("augment_weak")
+def q_augment_weak(spark, sf):
+    """The weak random pipeline: embedding neighbours and synonyms, each for 0.4 of the rows."""
+    return sometimes(spark, sf, "weak")
 
 
 def _reverse_words(texts):

@@ -122,6 +122,6 @@ def test_augment_sometimes_keeps_rows_and_untouched_texts(spark):
     assert len(untouched) > 0
     assert all(r.sentence == src[r.id] for r in untouched.itertuples(index=False))
     # each step is chosen for roughly p = 0.3 of the rows
-    for step in ("SynonymAug", "ContextualWordEmbsForSentenceAug", "AbstSummAug"):
+    for step in ("WordEmbsAug", "SynonymAug", "ContextualWordEmbsForSentenceAug", "BatchAbstSummAug"):
         share = out["applied"].str.contains(step).mean()
         assert 0.15 < share < 0.45, (step, share)
