@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.llm import text_bytes as tb
-from fewlabel.llm.common import discard, importable, pick, release, written
+from fewlabel.llm.common import discard, importable, pick, release, tidy, written
 from fewlabel.llm.components import components
 
 SHINGLE = 5
@@ -63,6 +63,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 HEAVY = 64
 #: Set ids that a task remembers to pass over copies before the shuffle (further copies go when lists are read).
 SEEN = 500_000
+#: Tasks over which the members of one list are dealt in joins by list.
+DEALS = 32
 #: Largest boundary between small and large sets that is considered.
 MOST_SMALL = 12
 
@@ -172,7 +174,7 @@ def _sketch(meta: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
     counters of shingles so frequent that their list is dealt to several, with how many these are."""
     mean = (meta.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
     blocks = meta.where(F.col("block").isNotNull()).select("block", "counts")
-    got = blocks.repartition(64, "block").mapInPandas(_sum_blocks, "block int, counts binary")
+    got = blocks.repartition(64, "block").mapInPandas(tidy(_sum_blocks), "block int, counts binary")
     classes = np.zeros((1 << (SKETCH_BITS - SKETCH_BLOCK), 1 << SKETCH_BLOCK), np.uint8)
     hot, hot_ways = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for r in got.toLocalIterator():  # a row of at most 128 KB per block
@@ -438,7 +440,7 @@ def _bitmap(at: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for r in at.repartition(4).mapInPandas(run, "bits binary").collect():  # at most 4 rows
+    for r in at.repartition(4).mapInPandas(tidy(run), "bits binary").collect():  # at most 4 rows
         out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
@@ -500,7 +502,7 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
             at = b.column("at").to_numpy()
             yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["set_id", "shingles"])
 
-    return sets.select(at, "set_id", "shingles").mapInArrow(run, "set_id bigint, shingles binary")
+    return sets.select(at, "set_id", "shingles").mapInArrow(tidy(run), "set_id bigint, shingles binary")
 
 
 def _links_by_blocks(open_: DataFrame, sets: DataFrame, parts: int, made: list[str]) -> DataFrame:
@@ -512,7 +514,7 @@ def _links_by_blocks(open_: DataFrame, sets: DataFrame, parts: int, made: list[s
              .withColumn("block", F.pmod(F.xxhash64("set_id", "token"), "ways")).select("set_id", "token", "block"))
     dealt = written(dealt, "jaccard-dealt", made)
     return (dealt.join(_only(sets, dealt), "set_id").repartition(parts, "token", "block")
-            .sortWithinPartitions("token", "block").mapInPandas(_block_links, "a bigint, b bigint"))
+            .sortWithinPartitions("token", "block").mapInPandas(tidy(_block_links), "a bigint, b bigint"))
 
 
 def _open_lists(active: DataFrame, label: DataFrame, made: list[str]) -> DataFrame:
@@ -520,7 +522,10 @@ def _open_lists(active: DataFrame, label: DataFrame, made: list[str]) -> DataFra
     act = (active.join(label, active["set_id"] == label["node"], "left")
            .select("token", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("comp")))
     mixed = act.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    return written(act.join(mixed, "token", "left_semi"), "jaccard-open", made)
+    # a list's members reach its verdict over several tasks, as one list may hold a third of all entries
+    mixed = mixed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = act.withColumn("deal", F.pmod(F.xxhash64("set_id"), F.lit(DEALS)).cast("int"))
+    return written(dealt.join(mixed, ["token", "deal"], "left_semi").drop("deal"), "jaccard-open", made)
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -535,16 +540,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     sc, made = spark.sparkContext, []
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, doc_id="bigint", text="string")
-    meta = written(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(_read, META), "jaccard-texts")
+    meta = written(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_read), META), "jaccard-texts")
     texts = meta.where(F.col("block").isNull()).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id")
     sizes = texts.where(F.col("n_shingles").between(1, 2 * MOST_SMALL)).groupBy(F.col("n_shingles").alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()
     boundary = cost_boundary({r["n"]: r["k"] for r in sizes})
     with_prefix_from = next(n for n in range(1, boundary + 2) if n * DEN // NUM > boundary)
 
     sketch = sc.broadcast(_sketch(meta))  # of fixed size
-    entries = d.select("text").mapInArrow(_entries(boundary, sketch, with_prefix_from), ENTRY)
+    entries = d.select("text").mapInArrow(tidy(_entries(boundary, sketch, with_prefix_from)), ENTRY)
     lists = (entries.repartition(parts, "kind", "token", "salt").sortWithinPartitions("kind", "token", "salt", "set_id")
-             .mapInArrow(_lists, ENTRY))
+             .mapInArrow(tidy(_lists), ENTRY))
     lists = written(lists, "jaccard-lists", made)
     del entries
     release(spark)
@@ -557,13 +562,13 @@ def _classes(docs: DataFrame) -> DataFrame:
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP_BITS).cast("int").alias("at")
     wanted = sc.broadcast(_bitmap(first.join(members, "set_id").select(at)))
     shared = sc.broadcast(_bitmap(active.select(F.shiftrightunsigned("token", 64 - BITMAP_BITS).cast("int").alias("at")).distinct()))
-    sets = written(d.select(at, "text").mapInArrow(_wanted_sets(wanted, shared, sketch), SETS), "jaccard-sets", made)
+    sets = written(d.select(at, "text").mapInArrow(tidy(_wanted_sets(wanted, shared, sketch)), SETS), "jaccard-sets", made)
     for b in (sketch, wanted, shared):
         b.unpersist()
 
     # links inside blocks of one list of each set, then inside blocks of another one of lists that are still mixed
     by_list = sets.withColumnRenamed("salt", "block").repartition(parts, "token", "block").sortWithinPartitions("token", "block", "set_id")
-    label = components(small_links.unionByName(by_list.mapInPandas(_block_links, "a bigint, b bigint")))
+    label = components(small_links.unionByName(by_list.mapInPandas(tidy(_block_links), "a bigint, b bigint")))
     act = _open_lists(active, label, made)
     heavy = act.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HEAVY).select("token")
     more = written(_links_by_blocks(act.join(heavy, "token", "left_semi"), sets, parts, made), "jaccard-links", made)
@@ -582,7 +587,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     of_a = near.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     of_b = near.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     more = (pairs.join(of_a, "a").join(of_b, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"), "x", "y")
-            .mapInArrow(_verify, "a bigint, b bigint").distinct())
+            .mapInArrow(tidy(_verify), "a bigint, b bigint").distinct())
     upper = components(more)
     discard(spark, made)  # the components are written
     release(spark)

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from fewlabel.llm.common import importable, pick
+from fewlabel.llm.common import importable, pick, tidy
 from fewlabel.llm.text_bytes import mix
 from fewlabel.llm.token_counts import BLANK, read_pieces
 
@@ -38,7 +38,9 @@ ALPHA = 1.0
 RANK_SHIFT = 10
 SEED = 2024
 #: Lattice nodes of a worker's table before it starts afresh (a single group of texts may need more).
-TABLE_NODES = 2_000_000
+TABLE_NODES = 700_000
+#: The row key of a null id: a random 64-bit number, so that no ordinary id shares its draws.
+NULL_KEY = -0x6A09E667F3BCC909
 #: Bytes of text that are sampled together; a longer text goes alone.
 GROUP = 1 << 18
 
@@ -100,7 +102,7 @@ class PieceLattice:
         for name, new in arrays.items():
             old, n = getattr(self, name), begin + len(new)
             if n > len(old):
-                grown = np.zeros(2 * n, old.dtype)
+                grown = np.zeros(n + n // 4, old.dtype)
                 grown[:begin] = old[:begin]
                 setattr(self, name, grown)
             getattr(self, name)[begin:n] = new
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = S
         of = lattice(model_path, alpha)
         for b in batches:
             docids, column = b.column("doc_id"), b.column("text")
-            keys = docids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+            keys = docids.fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
             for i, j in _groups(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
                 texts = column.slice(i, j - i).to_pylist()
                 some = [t or "" for t in texts]
@@ -287,11 +289,10 @@ def encode(docs: DataFrame, model_path: str, alpha: float = ALPHA, seed: int = S
                     [docids.slice(i, j - i), lists, pa.array(np.diff(at)), pa.array(same)],
                     names=["doc_id", "ids", "n_pieces", "lossless"])
         of.clear()  # the worker goes on to other tasks
-        pa.default_memory_pool().release_unused()
 
     importable(docs.sparkSession)
     return pick(docs, doc_id="bigint", text="string").mapInArrow(
-        run, "doc_id bigint, ids array<int>, n_pieces bigint, lossless boolean")
+        tidy(run), "doc_id bigint, ids array<int>, n_pieces bigint, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import importable, map_texts, pick, text_list
+from fewlabel.llm.common import importable, map_texts, pick, text_list, tidy
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy")
@@ -173,5 +173,5 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Dat
 
     importable(docs.sparkSession)
     plain = docs.toDF(*[str(i) for i in range(len(cols))])
-    out = plain.mapInArrow(lambda bs: (scan(b) for b in bs if b.num_rows), plain.schema).toDF(*cols)
+    out = plain.mapInArrow(tidy(lambda bs: (scan(b) for b in bs if b.num_rows)), plain.schema).toDF(*cols)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out

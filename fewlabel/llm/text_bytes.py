@@ -1,8 +1,8 @@
 """Words and shingles of UTF-8 texts as NumPy arrays, straight from an Arrow buffer.
 
-A word is a run of anything but blank and \\t\\n\\v\\f\\r; A-Z are lower-cased.  Word hashes
-are 64-bit polynomials over a random value per byte, so all words of a block of text
-are hashed by a running sum and a difference.
+A word is a run of anything but blank and \\t\\n\\v\\f\\r; A-Z are lower-cased.  A word's hash is
+the sum of a random value per byte times a random factor per place in the word, modulo 2 ** 64 (the
+factors are no powers of one number, whose differences would vanish for whole families of long words).
 """
 
 from __future__ import annotations
@@ -14,14 +14,12 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _MULT = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
-_powers: dict[str, np.ndarray] = {}
+_factors = np.zeros(0, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,19 +31,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        n = max(n, BLOCK + 1)
-        for name, base in (("p", _P), ("q", pow(_P, -1, 1 << 64))):
-            t = np.empty(n, np.uint64)
-            t[0] = 1
-            k = 1
-            while k < n:  # the next k powers are the first k times base ** k
-                m = min(k, n - k)
-                t[k:k + m] = t[:m] * _U(pow(base, k, 1 << 64))
-                k += m
-            _powers[name] = t
-    return _powers["p"], _powers["q"]
+def _place_factors(n: int) -> np.ndarray:
+    """An odd pseudo-random factor for each of the first ``n`` places of a word, at least."""
+    global _factors
+    if n <= len(_factors):
+        return _factors
+    out = mix(np.arange(max(n, 4096), dtype=np.uint64) + _U(0x5851F42D4C957F2D)) | _U(1)
+    if n <= BLOCK:
+        _factors = out
+    return out
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +84,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         is_end[:-1] &= ~word[1:] | first[1:-1]
         s, e = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
         if len(s):
-            p, q = _power_tables(len(part) + 1)
-            c = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(np.where(word, _VALUE[part], _U(0)) * p[:len(part)], out=c[1:])
-            hashes.append(mix((c[e] - c[s]) * q[s]))
+            place = np.arange(len(part)) - np.repeat(np.append(0, s), np.diff(np.concatenate([[0], s, [len(part)]])))
+            place[~word] = 0
+            c = _VALUE[part] * _place_factors(int((e - s).max()))[place]
+            c[~word] = 0
+            hashes.append(mix(np.add.reduceat(c, s)))
             starts_all.append(s + begin)
         begin = end
     if not hashes:

@@ -29,10 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import importable, map_texts, pick, text_list
+from fewlabel.llm.common import importable, map_texts, pick, text_list, tidy
 
 #: Most labelled rows that a fit reads.
 SAMPLE_ROWS = 10_000
@@ -126,11 +126,14 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
-    """doc_id, text, y of at most ``sample_rows`` labelled documents, by the hash of their id."""
+    """doc_id, text, y of at most ``sample_rows`` labelled documents, by the hash of their id; of rows that repeat an
+    id one text counts (the least by hash), so the bound holds whatever ``docs`` repeats."""
     y = (pick(labels, doc_id="bigint", **{label: "int"}).where(F.col(label).isin(0, 1))
          .groupBy("doc_id").agg(F.max(label).alias("y")).where(F.col("doc_id").isNotNull()))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return pick(docs, doc_id="bigint", text="string").join(F.broadcast(y), "doc_id")  # bounded by sample_rows
+    found = pick(docs, doc_id="bigint", text="string").join(F.broadcast(y), "doc_id")  # bounded by sample_rows
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))  # limited in the map tasks
+    return found.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    parts = sample.select("text", "y").mapInArrow(run, "feature string, pos bigint, neg bigint")
+    parts = sample.select("text", "y").mapInArrow(tidy(run), "feature string, pos bigint, neg bigint")
     return parts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -233,7 +236,7 @@ def severity(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD)
 
     importable(docs.sparkSession)
     return pick(docs, doc_id="bigint", text="string").mapInArrow(
-        run, "doc_id bigint, severity double, p_toxic double, grade int, toxic boolean")
+        tidy(run), "doc_id bigint, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -249,4 +252,4 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = THRES
 
     importable(docs.sparkSession)
     plain = docs.toDF(*[str(i) for i in range(len(cols))])
-    return plain.mapInArrow(run, plain.schema).toDF(*cols)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*cols)

@@ -268,3 +268,27 @@ def test_no_sketch_error_changes_classes(spark, monkeypatch):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(jj, "_sketch", lambda meta: (zlib.compress(rng.integers(0, 9, size).astype(np.uint8).tobytes(), 1), np.arange(0, size, 3), rng.integers(2, 5, len(range(0, size, 3)))))
     assert {r.doc_id: r.component_id for r in jj.similar_classes(docs).collect()} == want and len(rows) == len(want)
+
+
+def test_long_words_of_a_structured_family_differ(spark):
+    """A Thue-Morse word and its complement cancel in any polynomial modulo a power of two."""
+    for bits in (10, 11, 12):
+        x = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        a, b = "".join("ab"[i] for i in x), "".join("ba"[i] for i in x)
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        h, _ = tb.word_hashes(data, np.array([0, len(data)]))
+        assert h[0] != h[1] and h[0] == h[2]
+    rest = " some words that both texts have in common and that are many"
+    rows = [(1, a + rest), (2, b + rest), (3, a + rest)]
+    got = {r.doc_id: r.component_id for r in jj.similar_classes(doc_frame(spark, rows)).collect()}
+    assert got[3] == 1
+    assert got == {rows[i][0]: c for i, (_, c) in brute_classes(rows).items()}
+
+
+def test_one_list_of_many_unlinked_sets(spark):
+    """Thousands of texts that share a passage, too little of it to link."""
+    rows = [(i, "the one passage that all of these texts begin with " + " ".join(f"w{i}x{j}" for j in range(14))) for i in range(3000)]
+    rows += [(5000 + i, rows[i][1]) for i in range(0, 3000, 100)] + [(9999, rows[7][1] + " end")]
+    got = {r.doc_id: r.component_id for r in jj.similar_classes(doc_frame(spark, rows)).collect()}
+    assert all(got[5000 + i] == i for i in range(0, 3000, 100)) and got[9999] == 7
+    assert sum(c != d for d, c in got.items()) == 31

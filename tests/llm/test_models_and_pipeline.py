@@ -141,3 +141,10 @@ def test_one_run_per_stage_is_the_query(spark):
     from fewlabel.llm import queries as q
     want = {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
     assert {(r.doc_id, tuple(r.ids)) for r in q.QUERIES["pipeline"](spark, SF_SMALL).collect()} == want
+
+
+def test_a_repeated_doc_id_does_not_widen_the_sample(spark):
+    docs = doc_frame(spark, [(1, f"text {i}") for i in range(5000)] + [(i, f"other {i}") for i in range(2, 30)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 30)], "doc_id bigint, quality int, toxic int")
+    sample = tox.labelled_sample(docs, labels, "toxic", 20).collect()
+    assert len(sample) <= 20 and len({r.doc_id for r in sample}) == len(sample)

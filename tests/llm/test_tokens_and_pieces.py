@@ -109,3 +109,10 @@ def test_table_overflow_keeps_results(monkeypatch):
     of = ps.PieceLattice(piece_model())
     got = [of.encode([t], keys[i:i + 1])[0] for i, t in enumerate(texts)]
     assert np.array_equal(np.concatenate(got), want)
+
+
+def test_a_null_key_draws_for_itself(spark):
+    """A null id shares its draws with no ordinary id, -1 included."""
+    text = "some ordinary words that have many segmentations into pieces " * 20
+    got = [tuple(r.ids) for r in ps.encode(doc_frame(spark, [(None, text), (-1, text), (0, text), (None, text)]), piece_model()).collect()]
+    assert len(set(got)) == 3
