@@ -521,11 +521,12 @@ def _open_lists(active: DataFrame, label: DataFrame, made: list[str]) -> DataFra
     """The members of lists that hold more than one component, with their component."""
     act = (active.join(label, active["set_id"] == label["node"], "left")
            .select("token", "set_id", "n", "pos", F.coalesce("root", "set_id").alias("comp")))
-    mixed = act.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    # a list's members reach its verdict over several tasks, as one list may hold a third of all entries
-    mixed = mixed.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    dealt = act.withColumn("deal", F.pmod(F.xxhash64("set_id"), F.lit(DEALS)).cast("int"))
-    return written(dealt.join(mixed, ["token", "deal"], "left_semi").drop("deal"), "jaccard-open", made)
+    # a list's members are counted and picked over several tasks, as one list may hold a third of all entries
+    act = act.withColumn("deal", F.pmod(F.xxhash64("set_id"), F.lit(DEALS)).cast("int"))
+    part = act.groupBy("token", "deal").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = part.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
+    keys = part.select("token", "deal").join(mixed, "token", "left_semi")
+    return written(act.join(keys, ["token", "deal"], "left_semi").drop("deal"), "jaccard-open", made)
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
