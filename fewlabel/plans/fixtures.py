@@ -50,16 +50,16 @@ LAB_SQL = f"(select * from {EX_SQL} ex where annotation <> 'UNL')"
 
 # ---------------------------------------------------------------- logits
 LOGIT_SCALE = 20.0
-N_BRANCHES = 3
+N_BRANCHES = 7
 N_CLASSES = 10
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, branch, label, logits array<double>)``: 3 branches x 10 classes
-    sliced from each embedding and scaled by 20."""
+    """``(id, branch, label, logits array<double>)``: 7 branches x 10 classes cut from all 64
+    values of each embedding (the last branch goes on with the first six) and scaled by 20."""
     e = table(spark, sf_dir, "embeddings")
     b = F.explode(F.sequence(F.lit(0), F.lit(N_BRANCHES - 1))).alias("branch")
-    x = e.select("vec_id", "label", "embedding", b)
+    x = e.select("vec_id", "label", F.concat("embedding", F.slice("embedding", 1, 6)).alias("embedding"), b)
     sl = F.slice("embedding", F.col("branch") * N_CLASSES + 1, N_CLASSES)
     return x.select(F.col("vec_id").alias("id"), F.col("branch").cast("bigint").alias("branch"),
                     F.col("label").cast("bigint").alias("label"),
@@ -67,8 +67,8 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGITS_SQL = """(select vec_id as id, cast(b as bigint) as branch, cast(label as bigint) as label,
-       list_transform(embedding[b*10+1 : b*10+10], lambda v: cast(v as double) * 20.0) as logits
-  from embeddings, range(0, 3) t(b))"""
+       list_transform(list_concat(embedding, embedding[1:6])[b*10+1 : b*10+10], lambda v: cast(v as double) * 20.0) as logits
+  from embeddings, range(0, 7) t(b))"""
 
 
 # ---------------------------------------------------------------- runs, series

@@ -31,7 +31,7 @@ def resources(spark, sf) -> offline.Resources:
     docs = table(spark, sf, "documents")
     return offline.Resources(
         neighbours=lambda: C.ranked(neighbours(spark, sf), ["word"], TOP_K), thesaurus=lambda: FA.thesaurus(spark, sf),
-        contexts=lambda: C.context_candidates(docs, CTX_K), lexicons=lambda: FA.lexicons(spark, sf),
+        contexts=lambda: C.smoothed_candidates(docs, CTX_K), lexicons=lambda: FA.lexicons(spark, sf),
         successors=lambda: C.successors(docs, k=50, top_p=0.9))
 
 
@@ -142,27 +142,54 @@ def q_aug_synonym(spark, sf):
     return A.aug_synonym(examples(spark, sf), FA.thesaurus(spark, sf), SPECS["SynonymAug"], SEED)
 
 
-CTX_CTES = f"""tk as (select {_tok_sql('text')} as t from documents),
-tg as (select t[i] as "left", t[i + 1] as candidate, t[i + 2] as "right" from tk, unnest(range(1, len(t) - 1)) r(i)),
-tri as (select "left", "right", list(candidate order by score desc, candidate) as cands from (
-          select "left", "right", candidate, count(*) as score from tg group by "left", "right", candidate
-          qualify row_number() over (partition by "left", "right" order by count(*) desc, candidate) <= {CTX_K}) x
-        group by all),
-bg as (select t[i] as "left", t[i + 1] as candidate from tk, unnest(range(1, len(t))) r(i)),
-bi as (select "left", list(candidate order by score desc, candidate) as cands from (
-         select "left", candidate, count(*) as score from bg group by "left", candidate
-         qualify row_number() over (partition by "left" order by count(*) desc, candidate) <= {CTX_K}) x
-       group by all)"""
+def _lower_sql(name: str, side: str) -> str:
+    """Continuation probabilities by one neighbour."""
+    return f"""{name}m as (select "{side}", candidate, count(*) as m from t3 group by all),
+{name}d as (select case when count(*) filter (m = 1) = 0 then 0.0::double
+                   else count(*) filter (m = 1) / (count(*) filter (m = 1) + 2.0::double * count(*) filter (m = 2)) end as d from {name}m),
+{name}k as (select candidate, count(*) as k from {name}m group by candidate),
+{name}a as (select "{side}", cast(sum(m) as bigint) as al, count(*) as kinds from {name}m group by "{side}"),
+{name} as (select x."{side}", candidate, greatest(m - d, 0.0::double) / al + d * kinds / al * (k / (select cast(sum(k) as double) from {name}k)) as p
+             from {name}m x join {name}a using ("{side}") join {name}k using (candidate), {name}d)"""
+
+
+SMOOTH_SQL = f"""tk as (select {_tok_sql('text')} as t from documents),
+t3 as (select t[i] as "left", t[i + 1] as candidate, t[i + 2] as "right", count(*) as n from tk, unnest(range(1, len(t) - 1)) r(i) group by all),
+{_lower_sql('pl', 'left')}, {_lower_sql('pr', 'right')},
+d3 as (select case when count(*) filter (n = 1) = 0 then 0.0::double
+              else count(*) filter (n = 1) / (count(*) filter (n = 1) + 2.0::double * count(*) filter (n = 2)) end as d from t3),
+a3 as (select "left", "right", cast(sum(n) as bigint) as al, count(*) as kinds from t3 group by all),
+p3 as (select t3."left", t3."right", t3.candidate, greatest(n - d, 0.0::double) / al + d * kinds / al * pl.p as p
+         from t3 join pl on pl."left" = t3."left" and pl.candidate = t3.candidate
+                 join a3 on a3."left" = t3."left" and a3."right" = t3."right", d3)"""
+
+
+def _ranked_sql(source: str, keys: str, k: int) -> str:
+    return f"""(select {keys}, list(candidate order by score desc, candidate) as cands from (
+   select *, round(p, 12) as score from {source}
+   qualify row_number() over (partition by {keys} order by round(p, 12) desc, candidate) <= {k}) x group by all)"""
+
+
+@query("context_probabilities", f"""with {SMOOTH_SQL}
+select "left", "right", candidate, round(p, 6) as p from p3""")
+def q_context_probabilities(spark, sf):
+    """Interpolated Kneser-Ney probabilities of all words seen between two neighbours."""
+    both, _, _ = C.smoothed_contexts(table(spark, sf, "documents"))
+    return both.select("left", "right", "candidate", F.round("p", 6).alias("p"))
+
+
+CTX_CTES = f"""{SMOOTH_SQL},
+c3 as {_ranked_sql('p3', '"left", "right"', CTX_K)}, cl as {_ranked_sql('pl', '"left"', CTX_K)}, cr as {_ranked_sql('pr', '"right"', CTX_K)}"""
 
 
 @query("aug_contextual", substitution_sql(
     SPECS["ContextualWordEmbsAug"], CTX_CTES,
-    'left join tri l0 on l0."left" = rows."left" and l0."right" = rows."right" '
-    'left join bi l1 on l1."left" = rows."left"',
-    f"coalesce({_own('l0.cands')}, {_own('l1.cands')})", 0.3, "uniform"))
+    'left join c3 l0 on l0."left" = rows."left" and l0."right" = rows."right" '
+    'left join cl l1 on l1."left" = rows."left" left join cr l2 on l2."right" = rows."right"',
+    f"coalesce({_own('l0.cands')}, {_own('l1.cands')}, {_own('l2.cands')})", 0.3, "uniform"))
 def q_aug_contextual(spark, sf):
-    tri, bi = C.context_candidates(table(spark, sf, "documents"), CTX_K)
-    return A.aug_contextual(examples(spark, sf), tri, bi, SPECS["ContextualWordEmbsAug"], SEED)
+    tables = C.smoothed_candidates(table(spark, sf, "documents"), CTX_K)
+    return A.aug_contextual(examples(spark, sf), *tables, SPECS["ContextualWordEmbsAug"], SEED)
 
 
 def _bt_ctes() -> str:
@@ -190,7 +217,36 @@ def q_aug_back_translation(spark, sf):
     return A.aug_back_translation(examples(spark, sf), para, spec, SEED)
 
 
-@query("aug_summary")
+SUMMARY_SQL = f"""se as (select id, list_filter(string_split(regexp_replace(regexp_replace(coalesce(sentence, ''),
+              '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') as ss from ex),
+it0 as (select id, i - 1 as si, ss[i] as s, {_tok_sql('ss[i]')} as w from se, unnest(range(1, len(ss) + 1)) u(i)),
+wd as (select id, si, unnest(w) as word from it0),
+tf as (select id, word, count(*) as tf from wd group by all),
+sc as (select wd.id, wd.si, avg(tf.tf) as score from wd join tf using (id, word) group by all),
+it as (select it0.*, len(w) as nw,
+              case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                   else cast([] as ubigint[]) end as g,
+              row_number() over (partition by it0.id order by coalesce(score, 0) desc, it0.si) as r
+         from it0 left join sc on sc.id = it0.id and sc.si = it0.si),
+tot as (select id, sum(nw) as nw from it group by id),
+gr as (select ex.id, frac, greatest(cast(floor(frac * coalesce(tot.nw, 0)) as bigint), 10) as budget, 0 as r, 0::bigint as used,
+              cast([] as ubigint[]) as grams, cast([] as bigint[]) as kept
+         from ex left join tot using (id), (values (0.2::double), (0.5::double), (0.8::double)) f(frac)
+       union all
+       select x.id, x.frac, x.budget, x.r, case when take then used + nw else used end,
+              case when take then list_concat(grams, g) else grams end, case when take then list_append(kept, si) else kept end
+         from (select gr.id, frac, budget, gr.r + 1 as r, used, grams, kept, nw, g, si,
+                      len(kept) = 0 or (used + nw <= budget and not list_has_any(grams, g)) as take
+                 from gr join it on it.id = gr.id and it.r = gr.r + 1) x),
+fin as (select id, frac, arg_max(kept, r) as kept from gr group by id, frac),
+summ as (select fin.id, fin.frac, coalesce(string_agg(it.s, ' ' order by it.si), '') as summary
+           from fin left join it on it.id = fin.id and list_contains(fin.kept, it.si) group by all)"""
+
+
+@query("aug_summary", f"""with recursive ex as {EX_SQL}, {SUMMARY_SQL}
+select pv.aug_name, cast(pv.n as bigint) as n, pv.params, ex.id, summ.summary as sentence
+  from ex join {_plan_values(SPECS['BatchAbstSummAug'])} on pv.side = case when annotation = 'UNL' then 'unlabelled' else 'labelled' end
+          join summ on summ.id = ex.id and summ.frac = cast(json_extract_string(pv.params, '$.max_length') as double)""")
 def q_aug_summary(spark, sf):
     return A.aug_summary(examples(spark, sf), SPECS["BatchAbstSummAug"])
 

@@ -102,7 +102,7 @@ def q_merge_files(spark, sf):
 
 @query("feature_cache", q_features._encode_sql(False, 0))
 def q_feature_cache(spark, sf):
-    data = cache.fingerprint(examples(spark, sf))
+    data = cache.file_fingerprint(spark, *[f"{sf.rstrip('/')}/{t}.parquet" for t in ("documents", "labels")])
     key = cache.cache_key("train", "models/words", q_features.MAX_LEN, "SL3", None, None, False, data=data)
     root = _scratch(spark, "cache")
     first, hit1 = cache.feature_cache(spark, key, lambda: q_features._encode(spark, sf, False, 0), root=root)

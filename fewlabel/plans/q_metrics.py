@@ -106,6 +106,20 @@ def q_search_runs(spark, sf):
                     runs.path_component(exp, 1).alias("experiment_key"))
 
 
+@query("search_runs_by_hash", f"""with r as (
+  select run_id, val_acc, md5(to_json(map(['task', 'topic'], [legacy_task, topic]))) as hash, experiment_id, lifecycle_stage
+    from {RUNS_SQL} x)
+select run_id, val_acc, hash from r
+ where lifecycle_stage = 'active' and hash = (select min(hash) from r)
+   and experiment_id in (select user_id from events where event_type = 'error')""")
+def q_search_runs_by_hash(spark, sf):
+    """The runs of one configuration: that of the least hash."""
+    errs = table(spark, sf, "events").where("event_type = 'error'").select("user_id")
+    rv = runs_view(spark, sf).withColumn("hash", runs.config_hash({"task": "legacy_task", "topic": "topic"}))
+    wanted = rv.agg(F.min("hash")).first()[0]
+    return runs.search_runs(rv, errs, run_hash=wanted).select("run_id", "val_acc", "hash")
+
+
 @query("pending_runs", f"""with g as (
   select task, topic from (select distinct legacy_task as task from {RUNS_SQL} r) t,
          (values ('0'), ('1'), ('2'), ('3'), ('4'), ('5'), ('6')) v(topic)),

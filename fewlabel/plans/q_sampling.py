@@ -110,19 +110,23 @@ def q_sample_branches(spark, sf):
     return b.select("id", "branch", "aug_name", "n", "params", "aug_code")
 
 
-def _steps_sql(side: str, pred: str, total: str, width: int) -> str:
-    return f"""select 0::bigint as epoch, cast(pos // {width} as bigint) as step, '{side}' as side,
+def _steps_sql(side: str, pred: str, total: str, width: int, epoch: int = 0) -> str:
+    return f"""select {epoch}::bigint as epoch, cast(pos // {width} as bigint) as step, '{side}' as side,
        cast(pos % {width} as bigint) as slot, id
   from (select id, cyc * n + row_number() over (partition by cyc
-                   order by md5(concat_ws(':', '42', '0', cyc, id)), id) - 1 as pos
+                   order by md5(concat_ws(':', '42', '{epoch}', cyc, id)), id) - 1 as pos
           from (select ex.id, cnt.n, unnest(range(0, cast(ceil({total} / cnt.n) as bigint))) as cyc
                   from {EX_SQL} ex, (select count(*) as n from {EX_SQL} e2 where {pred}) cnt
                  where {pred.replace('e2.', 'ex.')}) a) b
  where pos < {total}"""
 
 
-COMPOSITE_LEN = (f"(select least(sum(case when annotation <> 'UNL' then 1 else 0 end), "
-                 f"sum(case when annotation = 'UNL' then 1 else 0 end) // {MU}) from {EX_SQL} ez)")
+def _length_sql(pick: str) -> str:
+    return (f"(select {pick}(sum(case when annotation <> 'UNL' then 1 else 0 end), "
+            f"sum(case when annotation = 'UNL' then 1 else 0 end) // {MU}) from {EX_SQL} ez)")
+
+
+COMPOSITE_LEN, COMPOSITE_MOST = _length_sql("least"), _length_sql("greatest")
 
 
 @query("composite_steps", _steps_sql("labelled", "e2.annotation <> 'UNL'", COMPOSITE_LEN, 1)
@@ -135,6 +139,21 @@ def q_composite_steps(spark, sf):
     return sampling.composite_steps(lab, unl, MU, SEED, epoch=0)
 
 
+@query("composite_steps_max", _steps_sql("labelled", "e2.annotation <> 'UNL'", COMPOSITE_MOST, 1, 1)
+       + "\nunion all\n"
+       + _steps_sql("unlabelled", "e2.annotation = 'UNL'", f"({COMPOSITE_MOST} * {MU})", MU, 1))
+def q_composite_steps_max(spark, sf):
+    """The longer length rule, where the shorter side is tiled, in the second epoch."""
+    ex = examples(spark, sf)
+    return sampling.composite_steps(ex.where("annotation <> 'UNL'"), ex.where("annotation = 'UNL'"), MU, SEED, epoch=1, len_mode="max")
+
+
+@query("assign_batches_in_order", f"""select id, cast((row_number() over (order by ord, id) - 1) // 32 as bigint) as batch
+  from {EX_SQL} ex""")
+def q_assign_batches_in_order(spark, sf):
+    return sampling.assign_batches(examples(spark, sf), 32, shuffle=False).select("id", "batch")
+
+
 @query("assign_batches", f"""select id, cast((row_number() over (order by md5(concat_ws(':', '42', '0', id)), id) - 1)
             // 32 as bigint) as batch
   from {EX_SQL} ex""")

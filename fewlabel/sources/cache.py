@@ -1,8 +1,9 @@
 """Feature cache: Parquet folder per key under the shared checkpoint folder.
 
 The key holds everything that changes the features (mode, model, max length,
-task, held-out topic, label budget and its mode, augmentation switch, a fingerprint
-of the input and the vocabulary).  A hit reads the
+task, held-out topic, label budget and its mode, augmentation switch, and a fingerprint
+of the input: of its files where it is read from files, so that a hit reads no input, or of the
+rows of derived tables).  A hit reads the
 table; a miss builds, writes (overwrite, so a retried job is idempotent) and
 reads back, which also cuts the lineage.
 """
@@ -36,6 +37,19 @@ def fingerprint(*tables: DataFrame) -> str:
     return hashlib.sha256("|".join(out).encode()).hexdigest()[:16]
 
 
+def file_fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A hash of the files under ``paths`` by name, length and modification time; no file is opened.
+
+    A tree of hashes: a leaf per file, a node per folder over its sorted leaves, a root over the sorted
+    folders, so the driver sees one value.  Writing a file anew, whatever it holds, gives another hash."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)) \
+        .select("path", "length", "modificationTime")  # the content is not read
+    leaf = F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256)
+    nodes = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(leaf))), 256).alias("node"))
+    root = nodes.agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws("|", "folder", "node")))), 256).alias("root")).first()["root"]
+    return root[:16]
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` has been committed (its ``_SUCCESS`` file is there)."""
     jvm = spark.sparkContext._jvm

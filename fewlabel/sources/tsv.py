@@ -2,18 +2,23 @@
 
 Spark writes a table as a folder of part files; a path such as ``train.tsv``
 is that folder.  Text may hold tabs, quotes and newlines, so both sides quote
-with doubled quotes, keep edge blanks, and the reader runs in ``multiLine``
-mode (such files are not split; internal tables are Parquet).
+with doubled quotes and keep edge blanks.  Large files are split (``sources.quoted``).
 """
 
 from __future__ import annotations
 
+import csv
+import fnmatch
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fewlabel.session import stored
+from fewlabel.sources.quoted import read_quoted, records
+
 # Tokens the examples reader folds to the empty string (the
 # default NA set of the pandas CSV reader).
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -35,15 +40,14 @@ def fold_nulls(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, cols: Sequenc
                            for c in cols})
 
 
-def _reader(spark: SparkSession, schema, header: bool = True):
-    return (spark.read.schema(schema).options(**TSV_OPTIONS).option("header", str(header).lower())
-            .option("multiLine", "true").option("mode", "FAILFAST"))
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def read_examples_tsv(spark: SparkSession, path: str, schema: T.StructType = EXAMPLE_SCHEMA,
                       null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Examples TSV with header; null tokens become ''; spaces in topic become '_'."""
-    df = fold_nulls(_reader(spark, schema).csv(path), null_tokens)
+    df = fold_nulls(read_quoted(spark, path, schema, TSV_OPTIONS).drop("_file"), null_tokens)
     if "topic" in df.columns:
         df = df.withColumn("topic", F.replace(F.col("topic"), F.lit(" "), F.lit("_")))
     return df
@@ -51,7 +55,7 @@ def read_examples_tsv(spark: SparkSession, path: str, schema: T.StructType = EXA
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True) -> DataFrame:
     """Delimited text with a header; quoted fields may hold separators and newlines."""
-    return _reader(spark, schema, header).option("sep", sep).csv(path)
+    return read_quoted(spark, path, _struct(schema), {**TSV_OPTIONS, "sep": sep}, header).drop("_file")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
@@ -76,8 +80,7 @@ def read_augmentations_dir(spark: SparkSession, path: str, schema: T.StructType
 
     ``aug_name`` is the ``aug_name=...`` folder when written partitioned,
     else the stem of the file (or of its parent folder for Spark part files)."""
-    df = (_reader(spark, schema).option("recursiveFileLookup", "true").csv(path)
-          .withColumn("_path", F.col("_metadata.file_path")))
+    df = read_quoted(spark, path, schema, TSV_OPTIONS, recursive=True).withColumnRenamed("_file", "_path")
     part = F.regexp_extract("_path", "aug_name=([^/]+)/", 1)
     parent = F.element_at(F.split("_path", "/"), -2)
     own = F.element_at(F.split("_path", "/"), -1)
@@ -97,8 +100,7 @@ def read_headerless(spark: SparkSession, path: str, names: Sequence[str], sep: s
     """Delimited file read with given column names (all strings); with
     ``skip_header`` the file's own header line is dropped and replaced."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (spark.read.schema(schema).options(**{**TSV_OPTIONS, "sep": sep}).option("multiLine", "true")
-            .option("header", str(skip_header).lower()).option("enforceSchema", "true").csv(path))
+    return read_quoted(spark, path, schema, {**TSV_OPTIONS, "sep": sep}, skip_header).drop("_file")
 
 
 # Declared types of the business-review JSON lines.
@@ -115,33 +117,28 @@ def read_reviews_json(spark: SparkSession, path: str, schema: T.StructType = REV
     return spark.read.schema(schema).json(path)
 
 
-def list_inputs(spark: SparkSession, path: str, glob: str = "*.[tT][sS][vV]") -> list[str]:
-    """Entries directly under ``path`` whose name matches ``glob`` (files or
-    Spark output folders), found with a path-only listing scan."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path").where(~F.element_at(F.split("path", "/"), -1).startswith("_")))
-    base = path.rstrip("/")
-    import fnmatch
-    import re
-    seen = set()
-    for (p,) in files.collect():  # one row per file: a listing, not data
-        rest = re.sub(r"^file:", "", p)
-        rest = rest[rest.find(base) + len(base):].lstrip("/") if base in rest else rest
-        top = rest.split("/")[0]
-        if fnmatch.fnmatchcase(top, glob):
-            seen.add(f"{base}/{top}")
-    return sorted(seen)
-
-
 def merge_files(spark: SparkSession, path: str, glob: str = "*.[tT][sS][vV]") -> DataFrame:
-    """Union by name of every matching TSV under ``path``; a column missing in
-    one input is NULL there; columns in sorted order."""
-    inputs = list_inputs(spark, path, glob)
-    if not inputs:
+    """Union by name of every matching TSV (a file, or a folder that Spark wrote) directly under ``path``; a column
+    missing in one input is NULL there; columns in sorted order.
+
+    One scan over all inputs; the driver sees their distinct headers, each of which is one branch of the
+    plan however many files have it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    own = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    below = F.regexp_replace(own, "^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", path).rstrip("/")) + "/", "")
+    top = F.element_at(F.split(below, "/"), 1)
+    name = F.element_at(F.split(below, "/"), -1)
+    inputs = found.where(top.rlike(f"^{fnmatch.translate(glob)}") & ~name.rlike("^[_.]")).select(top.alias("top")).distinct()
+    names = sorted(r["top"] for r in inputs.collect())  # a listing, not data
+    if not names:
         raise FileNotFoundError(f"no input matching {glob} under {path}")
+    every = records(spark, [f"{path.rstrip('/')}/{n}" for n in names])
+    headers = stored(every.where("first").select("file", F.col("record").alias("header")), "headers")
     out = None
-    for p in inputs:
-        df = (spark.read.options(**TSV_OPTIONS).option("header", "true").option("multiLine", "true")
-              .option("inferSchema", "false").csv(p))
+    for (line,) in headers.select("header").distinct().collect():  # the distinct headers
+        cols = next(csv.reader([line], delimiter="\t"))
+        rows = every.where("not first").join(headers.where(F.col("header") == line).select("file"), "file", "left_semi")
+        schema = ", ".join(f"`{c}` string" for c in cols)
+        df = rows.select(F.from_csv("record", schema, {**TSV_OPTIONS, "multiLine": "true", "mode": "FAILFAST"}).alias("r")).select("r.*")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.select(*sorted(out.columns))
