@@ -141,6 +141,48 @@ def test_text_blocks_surge_and_dive():
     assert ht.text_blocks([]) == [] and ht.text_blocks([0, 0]) == []
 
 
+LONG = "A long sentence that belongs to the main text of this page, with many words."
+P = f"<p>{LONG}</p>"
+
+
+def test_ids_and_subjects_inside_an_article_lose_nothing():
+    for name in ("search", "sharing", "related", "legal"):
+        assert ht.main_text(f"<article>{P}<section id={name}><h2 id={name}>H</h2>{P}</section></article>") == f"{LONG}\nH\n{LONG}", name
+    for name in ("search", "comments", "related"):
+        assert ht.main_text(f"<article>{P}<h2 id='{name}'>Head</h2>{P}</article>") == f"{LONG}\nHead\n{LONG}", name
+    assert ht.main_text(f"<article>{P}<div class=legal>{P}</div></article>") == f"{LONG}\n{LONG}"
+    assert ht.main_text("<article><p>Let <math><mi>x</mi></math> be</p><object><p>fallback</p></object></article>") == "Let x be\nfallback"
+    assert ht.main_text(f"<article>{P}</article><article>{P}</article>") == f"{LONG}\n{LONG}"
+    assert ht.main_text(f"<article><p><a href=1>{LONG}</a></p></article><div>tiny</div>") == LONG
+
+
+def test_compound_names_of_boilerplate_go():
+    for name in ("ad-slot-1", "newsletter-box", "share-buttons", "related-posts", "user-comments-list", "comments-area", "comment_list"):
+        assert ht.main_text(f"<article>{P}<div class='{name}'><p>gone gone</p></div></article>") == LONG, name
+    assert ht.main_text(f"<div class=sidebar-right><p>side words here</p></div><div>{P}{P}</div>") == f"{LONG}\n{LONG}"
+
+
+def test_surge_and_dive_leave_out_parts_without_telling_names(monkeypatch):
+    side = "<div><p>x</p></div><div><p>y</p></div><div><p>Kontakt</p></div>"
+    page = f"<div>{side}<div>{P}</div><div><p>Teaser</p></div><div>{P}<p>End.</p></div>{side}</div>"
+    got = ht.main_text(page).split("\n")
+    assert got[-1] == "End." and got.count(LONG) == 2 and "x" not in got
+    assert ht.main_text(page, threshold=0).endswith("Kontakt")
+    monkeypatch.setattr(ht, "text_blocks", lambda w, *a: [(0, len(w))] if w else [])
+    assert ht.main_text(page).endswith("Kontakt")
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+    assert ht.main_text("<p title='a > b'>x</p>") == "x" and ht.main_text("<p title='a>x</p>") == "x"
+    assert ht.main_text("1 < 2 and <b 3") == "1 < 2 and"
+    for piece in ("<a ", "x < y & <b 'q ", "<b '>'", "<script '", "</x>", "<nav><article>", "<b a='>' "):
+        for end in ("", ">", "'"):
+            begin = time.process_time()
+            ht.main_text(piece * (400_000 // len(piece)) + end)
+            assert time.process_time() - begin < 8, (piece, end)
+
+
 def test_pages_table_keeps_exactly_the_article(spark):
     import html as h
     for r, g in zip(*(sorted(x.collect(), key=lambda r: r.page_id) for x in (table(spark, SF_SMALL, "pages"), q.QUERIES["op9_main_text"](spark, SF_SMALL)))):
