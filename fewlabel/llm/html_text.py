@@ -332,7 +332,7 @@ class _Page:
             if why == _READERS:
                 keep = not left and 2 * w > total[0]
             elif why == _SOFT or why == _HARD:
-                wraps = 10 * left <= w if self.tag[i] in _NEVER_WRAPS else 10 * regions < w
+                wraps = not regions and 10 * left <= w if self.tag[i] in _NEVER_WRAPS else 10 * regions < w
                 keep = w > 0 and 2 * w > page and wraps or best[i] > left
             else:
                 keep = False

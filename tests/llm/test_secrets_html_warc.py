@@ -172,6 +172,10 @@ def test_surge_and_dive_leave_out_parts_without_telling_names(monkeypatch):
     assert ht.main_text(page).endswith("Kontakt")
 
 
+def test_a_footer_heavier_than_a_tiny_article_goes():
+    assert ht.main_text(f"<article><h1>T.</h1><p><b>T.<br></article><footer>{LONG}</footer>") == "T.\nT."
+
+
 def test_broken_markup_is_read_in_linear_time():
     import time
     assert ht.main_text("<p title='a > b'>x</p>") == "x" and ht.main_text("<p title='a>x</p>") == "x"
