@@ -10,11 +10,15 @@ misses at most ``k - 1`` of its shingles, so it meets the sketch: the search los
 nothing, however long the document.  Pairs that meet a sketch are verified by the exact
 count of the item's shingles in the document.
 
-Sketches and item shingles ride in one table of shingle hashes, so the documents are
-read once.  That table is broadcast while its counted rows stay within
-``BROADCAST_ROWS``; beyond, the join shuffles and AQE splits hot shingles.  Documents
-themselves are never shuffled: only (document, item, shingle) matches are, after a
-partial count in the task that holds the document.
+The documents are read twice.  The first pass joins their shingles with the sketches alone
+and keeps the candidate pairs of document and item, written once.  The second pass takes the
+documents that have a candidate, counts the shingles they share with the items, and
+keeps the counts of candidate pairs.  Documents themselves are never shuffled: only candidates
+and (document, item, shingle) matches are, after a partial aggregate in the task that holds the
+document.  A table of sketches, of item shingles, of documents with a candidate or of found
+documents is broadcast while its counted rows stay within ``BROADCAST_ROWS``.  Beyond, joins by
+shingle shuffle and AQE splits hot ones, the second pass reads all documents, and
+``clean_documents`` shuffles them; the rows stay the same.
 
 Words are runs of anything but blank and \\t\\n\\v\\f\\r, A-Z lower-cased.  Shingle hashes are
 64 bits of XXH64.
@@ -32,11 +36,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import pick
+from fewlabel.llm.common import discard, pick, written
 
 SHINGLE = 5
 CONTAINMENT = (80, 100)
-#: Largest table of item shingles that is broadcast (about 24 bytes a row).
+#: Largest table that is broadcast (at most 24 bytes a row before hashing).
 BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,33 +87,61 @@ def sketched(shingles: DataFrame, share=CONTAINMENT) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, share=CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_item, n_shared: the items that each document contains."""
-    return _found(docs, items, share, broadcast_rows).groupBy("doc_id", "item_id").agg(
+    return _found(docs, items, share, broadcast_rows, []).groupBy("doc_id", "item_id").agg(
         F.max("n").cast("bigint").alias("n_item"), F.max("n_shared").alias("n_shared"))
 
 
-def _found(docs: DataFrame, items: DataFrame, share, broadcast_rows: int) -> DataFrame:
-    """doc_id, text_key (XXH64 of the text), item_id, n, n_shared of each text that contains an item."""
-    rows = sketched(item_shingles(pick(items, item_id="bigint", text="string")), share)
-    sizes = {r["k"]: r["c"] for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 5 rows
-    table = rows.select("item_id", "n", "hash", "in_sketch")
-    if sum(sizes.values()) <= broadcast_rows:
-        table = F.broadcast(table)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_key (XXH64 of the text)."""
     d = pick(docs, doc_id="bigint", text="string").where(F.col("text").isNotNull())
-    d = d.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes(F.col("text")).alias("h"))
-    all_grams = [grams(F.col("h"), k) for k in sorted(sizes)] or [F.array().cast("array<bigint>")]
+    return d.withColumn("text_key", F.xxhash64("text"))
+
+
+def _exploded(keyed: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_key, hash: a row for every shingle of the given widths in words."""
+    d = keyed.select("doc_id", "text_key", word_hashes(F.col("text")).alias("h"))
+    all_grams = [grams(F.col("h"), k) for k in widths] or [F.array().cast("array<bigint>")]
     of = all_grams[0] if len(all_grams) == 1 else F.concat(*all_grams)
-    d = d.select("doc_id", "text_key", F.explode(of).alias("hash"))
+    return d.select("doc_id", "text_key", F.explode(of).alias("hash"))
+
+
+def _bounded(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
+
+
+def candidate_pairs(docs: DataFrame, shingles: DataFrame, widths: list[int], n_sketch: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, text_key, item_id, n: the documents that meet an item's sketch, by the rows of ``sketched``."""
+    sketch = shingles.where("in_sketch").select("item_id", "n", "hash")
+    met = _exploded(_keyed(docs), widths).join(_bounded(sketch, n_sketch, broadcast_rows), "hash")
+    return met.groupBy("doc_id", "text_key", "item_id").agg(F.max("n").alias("n"))
+
+
+def _found(docs: DataFrame, items: DataFrame, share, broadcast_rows: int, made: list[str]) -> DataFrame:
+    """doc_id, text_key, item_id, n, n_shared of each text that contains an item; ``made`` takes the written tables' paths."""
+    rows = sketched(item_shingles(pick(items, item_id="bigint", text="string")), share)
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.count_if("in_sketch").alias("s")).collect()  # at most 5 rows
+    widths = sorted(r["k"] for r in sizes)
+    pairs = written(candidate_pairs(docs, rows, widths, sum(r["s"] for r in sizes), broadcast_rows), "contained-candidates", made)
+    keys = pairs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = _keyed(docs)
+    if keys.count() <= broadcast_rows:
+        keyed = keyed.join(F.broadcast(keys), keyed["doc_id"].eqNullSafe(keys["_id"]) & (keyed["text_key"] == keys["_key"]), "left_semi")
+    table = _bounded(rows.select("item_id", "hash"), sum(r["c"] for r in sizes), broadcast_rows)
     # a long document's repeats of one shingle meet in its own task: the key begins with the document
-    pairs = (d.join(table, "hash").groupBy("doc_id", "text_key", "item_id", "n", "hash")
-             .agg(F.max("in_sketch").alias("in_sketch"))
-             .groupBy("doc_id", "text_key", "item_id", "n")
-             .agg(F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate")))
-    return pairs.where(F.col("candidate") & (F.col("n_shared") >= _need(F.col("n"), share)))
+    shared = (_exploded(keyed, widths).join(table, "hash").groupBy("doc_id", "text_key", "item_id", "hash").agg(F.lit(1).alias("one"))
+              .groupBy("doc_id", "text_key", "item_id").agg(F.count("one").alias("n_shared"))).alias("c")
+    same = F.col("c.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("c.text_key") == F.col("p.text_key")) & F.col("c.item_id").eqNullSafe(F.col("p.item_id"))
+    return (pairs.alias("p").join(shared, same).select("p.*", "n_shared")
+            .where(F.col("n_shared") >= _need(F.col("n"), share)))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, share=CONTAINMENT) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, share=CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` whose text contains no item; all columns stay, rows of null doc_ids and texts too."""
-    hit = _found(docs, items, share, BROADCAST_ROWS).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    made: list[str] = []
+    hit = _found(docs, items, share, broadcast_rows, made).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    hit = written(hit, "contained-hits")
+    discard(docs.sparkSession, made)
+    hit = _bounded(hit, hit.count(), broadcast_rows)
     same = docs["doc_id"].cast("bigint").eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["_key"])
     return docs.join(hit, same, "left_anti")
 

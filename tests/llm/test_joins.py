@@ -195,9 +195,20 @@ def test_contained_items_equal_brute_force(spark, broadcast_rows):
     assert {(g.doc_id, g.item_id): (g.n_item, g.n_shared) for g in got} == brute_contained(docs, its) and len(got) == len(brute_contained(docs, its))
 
 
-def test_clean_documents_and_empty_tables(spark):
+def test_sketches_select_fewer_pairs_than_share_a_shingle(spark):
+    its = [(i, " ".join(f"{c}{i}" for c in "abcdefghijklmnopqrstuvwxyzab")) for i in range(40)]
+    docs = [(i, " ".join(t.split()[:5]) + f" and text number {i}") for i, t in its] + [(100, its[3][1])]
+    d, rows = doc_frame(spark, docs), dc.sketched(dc.item_shingles(items(spark, its)))
+    met = {(r.doc_id, r.item_id) for r in dc.candidate_pairs(d, rows, [5], rows.where("in_sketch").count()).collect()}
+    assert (100, 3) in met and met <= {(i, i) for i in range(40)} | {(100, 3)}
+    assert len(met) < 25, met  # 41 pairs share a shingle; a sketch holds 7 of 24
+    assert [(r.doc_id, r.item_id) for r in dc.contained_items(d, items(spark, its)).collect()] == [(100, 3)]
+
+
+@pytest.mark.parametrize("broadcast_rows", [10 ** 6, 0])
+def test_clean_documents_and_empty_tables(spark, broadcast_rows):
     docs = doc_frame(spark, [(1, ITEM), (2, "clean"), (None, "x " + ITEM), (None, "clean too"), (3, None), (1, "other text of one")])
-    got = dc.clean_documents(docs, items(spark, [(1, ITEM)]))
+    got = dc.clean_documents(docs, items(spark, [(1, ITEM)]), broadcast_rows=broadcast_rows)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, "clean"), (None, "clean too"), (3, None), (1, "other text of one")], key=str)
     assert dc.contained_items(docs, items(spark, [])).count() == 0 and dc.contained_items(doc_frame(spark, []), items(spark, [(1, ITEM)])).count() == 0
