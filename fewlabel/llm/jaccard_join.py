@@ -18,8 +18,9 @@ Links are found without listing the pairs of a group.  First each set goes with
 shingles to one of its lists, long lists are dealt to blocks of bounded size, and the links
 inside a block give its components; long lists that still hold several components are
 dealt once more.  Then only pairs that share a list entry, pass the filters and are still in
-different components are formed, verified exactly on both sets, and joined to the final
-components.
+different components are formed, sorted out by histograms of their sets (256 bytes a set; the
+overlap is at most the sum of the lesser counts, so no link is lost), verified exactly on
+both sets, and joined to the final components.
 
 Memory and skew: lists of hot shingles are salted by the sketch; blocks hold at most
 ``BLOCK_SETS`` sets and ``BLOCK_SHINGLES`` shingles (one larger set goes alone); the sketch
@@ -354,6 +355,24 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # -- links ----------------------------------------------------------------------
 
+def histogram(s: np.ndarray) -> bytes | None:
+    """How many of a set's shingles fall to each of 256 parts of the hashes; None if a count does not fit a byte."""
+    n = np.bincount((tb.mix(s) >> _U(56)).astype(np.int64), minlength=256)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose histograms allow the overlap that a link needs; pairs without both pass."""
+    for p in batches:
+        both = np.flatnonzero(p.column("x").is_valid().to_numpy(zero_copy_only=False) & p.column("y").is_valid().to_numpy(zero_copy_only=False))
+        keep = np.ones(p.num_rows, bool)
+        if len(both):
+            x, y = (np.frombuffer(b"".join(p.column(c).take(pa.array(both)).to_pylist()), np.uint8).reshape(-1, 256) for c in "xy")
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            keep[both] = most >= overlap_needed(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
+        yield p.select(["a", "b", "comp_a", "comp_b"]).filter(pa.array(keep))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact test of two ascending sets."""
     o = len(np.intersect1d(a, b, assume_unique=True))
@@ -445,7 +464,7 @@ def _bitmap(at: DataFrame) -> np.ndarray:
     return out
 
 
-SETS = "set_id bigint, token bigint, salt int, shingles binary"
+SETS = "set_id bigint, token bigint, salt int, shingles binary, histogram binary"
 
 
 def _wanted_sets(wanted, shared, sketch):
@@ -459,9 +478,10 @@ def _wanted_sets(wanted, shared, sketch):
             return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
         def out(rows: list) -> pa.RecordBatch:
-            i, t, x, r = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(x, pa.int32()), pa.array(r, pa.binary())],
-                                              names=["set_id", "token", "salt", "shingles"])
+            i, t, x, r, h = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(x, pa.int32()), pa.array(r, pa.binary()), pa.array(h, pa.binary())],
+                names=["set_id", "token", "salt", "shingles", "histogram"])
 
         for b in batches:
             if not b.num_rows:
@@ -479,7 +499,7 @@ def _wanted_sets(wanted, shared, sketch):
                     seen.clear()
                 seen.add(me)
                 pick_ = np.flatnonzero(on)[np.argmin(tb.mix(first[on]))]
-                got.append((me, int(first[pick_].view(np.int64)), int(salt[pick_]), s.tobytes()))
+                got.append((me, int(first[pick_].view(np.int64)), int(salt[pick_]), s.tobytes(), histogram(s)))
                 held += len(s)
                 if held > 1 << 19:
                     yield out(got)
@@ -491,8 +511,8 @@ def _wanted_sets(wanted, shared, sketch):
     return run
 
 
-def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """set_id and shingles of the sets whose id may be among ``ids``: sorted out by a bitmap of fixed size before
+def _only(sets: DataFrame, ids: DataFrame, what: str = "shingles") -> DataFrame:
+    """set_id and shingles (or histogram) of the sets whose id may be among ``ids``: sorted out by a bitmap of fixed size before
     they are shuffled to a join (false hits do not join)."""
     at = F.shiftrightunsigned("set_id", 64 - BITMAP_BITS).cast("int").alias("at")
     bits = sets.sparkSession.sparkContext.broadcast(_bitmap(ids.select(at).distinct()))
@@ -500,9 +520,9 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column("at").to_numpy()
-            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["set_id", "shingles"])
+            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).select(["set_id", what])
 
-    return sets.select(at, "set_id", "shingles").mapInArrow(tidy(run), "set_id bigint, shingles binary")
+    return sets.select(at, "set_id", what).mapInArrow(tidy(run), f"set_id bigint, {what} binary")
 
 
 def _links_by_blocks(open_: DataFrame, sets: DataFrame, parts: int, made: list[str]) -> DataFrame:
@@ -568,7 +588,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         b.unpersist()
 
     # links inside blocks of one list of each set, then inside blocks of another one of lists that are still mixed
-    by_list = sets.withColumnRenamed("salt", "block").repartition(parts, "token", "block").sortWithinPartitions("token", "block", "set_id")
+    by_list = sets.drop("histogram").withColumnRenamed("salt", "block").repartition(parts, "token", "block").sortWithinPartitions("token", "block", "set_id")
     label = components(small_links.unionByName(by_list.mapInPandas(tidy(_block_links), "a bigint, b bigint")))
     act = _open_lists(active, label, made)
     heavy = act.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HEAVY).select("token")
@@ -584,6 +604,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     pairs = (x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("comp_a") < F.col("comp_b")) & can)
              .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "comp_a", "comp_b").distinct())
     pairs = written(pairs, "jaccard-pairs", made)
+    outline = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")), "histogram")
+    of_a, of_b = (outline.select(F.col("set_id").alias(c), F.col("histogram").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    pairs = written(pairs.join(of_a, "a").join(of_b, "b").select(*pairs.columns, "x", "y")
+                    .mapInArrow(tidy(_may_link), pairs.schema).dropDuplicates(["a", "b"]), "jaccard-possible", made)
     near = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
     of_a = near.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     of_b = near.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))

@@ -117,6 +117,24 @@ def test_block_roots_equal_pairwise_links():
     assert jj.block_roots(sets, ids).tolist() == [int(ids[x]) for x in root]
 
 
+def test_histograms_pass_every_link_and_most_others_go():
+    import pyarrow as pa
+    r = np.random.default_rng(5)
+    rows = []
+    for n in (1, 5, 60, 400, 2_000, 90_000):
+        for share in (0.0, 0.5, 0.75, 0.89, 0.9, 1.0):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[:int(n * share)], r.integers(0, 1 << 63, n - int(n * share)).astype(np.uint64)])
+            rows.append((np.unique(a), np.unique(b)))
+    k = list(range(len(rows)))
+    x, y = ([jj.histogram(p[i]) for p in rows] for i in (0, 1))
+    batch = pa.record_batch([pa.array(k), pa.array(k), pa.array(k), pa.array(k), pa.array(x, pa.binary()), pa.array(y, pa.binary())],
+                            names=["a", "b", "comp_a", "comp_b", "x", "y"])
+    kept = set(next(iter(jj._may_link(iter([batch])))).column("a").to_pylist())
+    assert {i for i in k if jj.linked(*rows[i])} <= kept and not {0, 6, 12, 18, 19, 24} & kept - {0, 6}
+    assert x[-1] is None and len(rows) - 1 in kept
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(30)] + [(500, 501 + i) for i in range(50)]
