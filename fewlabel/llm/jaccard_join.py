@@ -122,6 +122,20 @@ def cost_boundary(sizes: dict[int, int]) -> int:
 META = "doc_id bigint, text_key bigint, n bigint, set_id bigint, block int, counts binary"
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A task's sketch block: a bit for each counter in use, then their counts; of most tasks most counters are not in use."""
+    code = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return code.compress(np.packbits(counts > 0).tobytes() + counts[counts > 0].tobytes()) + code.flush()
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(block), np.uint8)
+    out = np.zeros(1 << SKETCH_BLOCK, np.uint32)
+    used = np.unpackbits(raw[:1 << (SKETCH_BLOCK - 3)]).view(bool)
+    out[used] = raw[1 << (SKETCH_BLOCK - 3):]
+    return out
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text (doc_id, n, set_id), then the task's sketch of shingle counts in compressed blocks."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -152,7 +166,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks = counts.reshape(-1, 1 << SKETCH_BLOCK)
     filled = np.flatnonzero(blocks.any(axis=1)).tolist()
     for i in range(0, len(filled), 64):
-        rows = [(k, zlib.compress(blocks[k].tobytes(), 1)) for k in filled[i:i + 64]]
+        rows = [(k, packed(blocks[k])) for k in filled[i:i + 64]]
         none = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.array([i for i, _ in rows], pa.int32()), pa.array([z for _, z in rows], pa.binary())],
@@ -164,7 +178,7 @@ def _sum_blocks(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for part in rows:
         for i, z in zip(part["block"], part["counts"]):
-            x = np.frombuffer(zlib.decompress(z), np.uint8).astype(np.uint32)
+            x = unpacked(z)
             sums[i] = sums[i] + x if i in sums else x
     if sums:
         yield pd.DataFrame({"block": list(sums), "counts": [zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in sums.values()]})
@@ -561,13 +575,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     sc, made = spark.sparkContext, []
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, doc_id="bigint", text="string")
-    meta = written(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_read), META), "jaccard-texts")
-    texts = meta.where(F.col("block").isNull()).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id")
+    meta = written(d.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_read), META), "jaccard-sketch", made)
+    texts = written(meta.where(F.col("block").isNull()).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id"), "jaccard-texts")
     sizes = texts.where(F.col("n_shingles").between(1, 2 * MOST_SMALL)).groupBy(F.col("n_shingles").alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()
     boundary = cost_boundary({r["n"]: r["k"] for r in sizes})
     with_prefix_from = next(n for n in range(1, boundary + 2) if n * DEN // NUM > boundary)
 
     sketch = sc.broadcast(_sketch(meta))  # of fixed size
+    del meta
+    discard(spark, made)  # the tasks' sketches are summed; neither they nor their shuffle stay beside that of the entries
+    release(spark)
     entries = d.select("text").mapInArrow(tidy(_entries(boundary, sketch, with_prefix_from)), ENTRY)
     lists = (entries.repartition(parts, "kind", "token", "salt").sortWithinPartitions("kind", "token", "salt", "set_id")
              .mapInArrow(tidy(_lists), ENTRY))
@@ -590,6 +607,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     # links inside blocks of one list of each set, then inside blocks of another one of lists that are still mixed
     by_list = sets.drop("histogram").withColumnRenamed("salt", "block").repartition(parts, "token", "block").sortWithinPartitions("token", "block", "set_id")
     label = components(small_links.unionByName(by_list.mapInPandas(tidy(_block_links), "a bigint, b bigint")))
+    del by_list
+    release(spark)
     act = _open_lists(active, label, made)
     heavy = act.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HEAVY).select("token")
     more = written(_links_by_blocks(act.join(heavy, "token", "left_semi"), sets, parts, made), "jaccard-links", made)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from fewlabel.llm import learned_ann as ann
 from fewlabel.llm import text_bytes as tb
 from fewlabel.llm.common import table
 from fewlabel.llm.components import components
+from fewlabel.session import checkpoint_dir
 from tests.llm.helpers import SF_SMALL, awkward, brute_classes, doc_frame, shingles
 
 
@@ -117,6 +119,23 @@ def test_block_roots_equal_pairwise_links():
     assert jj.block_roots(sets, ids).tolist() == [int(ids[x]) for x in root]
 
 
+def test_sketch_blocks_are_small_and_lossless():
+    for rate in (0.0, 0.05, 3.0):
+        counts = np.random.default_rng(3).poisson(rate, 1 << jj.SKETCH_BLOCK).astype(np.uint8)
+        assert (jj.unpacked(jj.packed(counts)) == counts).all()
+    counts = np.random.default_rng(3).poisson(0.05, 1 << jj.SKETCH_BLOCK).astype(np.uint8)
+    assert len(jj.packed(counts)) < 0.6 * len(zlib.compress(counts.tobytes(), 1))
+
+
+def test_sketches_of_tasks_do_not_stay(spark):
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    r = random.Random(8)
+    jj.similar_classes(doc_frame(spark, [(i, " ".join(words(r, 30))) for i in range(40)])).count()
+    made = [p for p in set(folder.iterdir()) - before if p.name.startswith("jaccard")]
+    assert made and all("counts" not in spark.read.parquet(str(p)).columns for p in made)
+
+
 def test_histograms_pass_every_link_and_most_others_go():
     import pyarrow as pa
     r = np.random.default_rng(5)
