@@ -82,3 +82,16 @@ def test_empty_and_header_only_files(spark):
     df = spark.createDataFrame([], "id string, sentence string")
     tsv.write_examples_tsv(df.coalesce(1), f"{base}/a.tsv")
     assert tsv.read_headerless(spark, f"{base}/a.tsv", ["id", "sentence"], skip_header=True).count() == 0
+
+
+def test_lines_are_cut_once_where_no_record_lies_over_a_split(spark):
+    """Fragments are looked for only in files whose splits begin or end inside quotes."""
+    from fewlabel.sources import quoted
+    path = scratch_path(spark, f"test-cut-{uuid.uuid4().hex}")
+    rows = [("a", 'say "hi"'), ("b", "two\nlines"), ("c", None), ("d", "\t")]
+    tsv.write_examples_tsv(spark.createDataFrame(rows, "id string, sentence string").coalesce(1), path)
+    got = quoted.records(spark, path)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert [(r.first, r.record) for r in got.collect()] == [
+        (True, "id\tsentence"), (False, 'a\t"say ""hi"""'), (False, 'b\t"two\nlines"'), (False, "c\t"), (False, 'd\t"\t"')]
