@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -76,8 +77,10 @@ def discard(spark: SparkSession, made: list[str]) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps whose results are written: it removes them when
     the driver's garbage collection finds that no plan refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # references given up in Python reach the JVM by and by, and a collection only queues what it finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def give_back() -> None:

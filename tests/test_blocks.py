@@ -75,3 +75,20 @@ def test_tokens_are_not_shuffled_one_by_one(spark):
     plan = A.aug_synonym(ex, table, _spec(1))._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "array_distinct" in plan
     assert A.aug_synonym(ex, table, _spec(1)).where(F.col("sentence").contains("b")).count() == 2
+
+
+def test_texts_are_moved_once_to_their_blocks(spark):
+    """The distinct words of a block are found where its texts lie."""
+    ex = spark.createDataFrame([(str(i), f"a b{i % 7} c", "UNL") for i in range(60)], "id string, sentence string, annotation string")
+    table = spark.createDataFrame([("a", ["b"])], "word string, cands array<string>")
+    df = A.aug_synonym(ex, table, _spec(1))
+    assert df.where(F.col("sentence").startswith("b b")).count() == 120
+    plan = df._jdf.queryExecution().optimizedPlan()
+    dealt = [str(p) for p in plan.toString().split("\n") if "RepartitionByExpression" in p and "_blk" in p]
+    assert len(dealt) == 3  # the texts for both steps, and the lists
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        final = A.aug_synonym(ex, table, _spec(1))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in final
